@@ -237,10 +237,10 @@ def a21(spark, sf):
     return A.rates(scores(spark, sf))
 
 
-_COOP = "SELECT id, max(CASE WHEN p_base>0.5 THEN 1 ELSE 0 END) AS ab, max(CASE WHEN p_tuned>0.5 THEN 1 ELSE 0 END) AS at, avg(CASE WHEN p_base>0.5 THEN 1.0 ELSE 0.0 END) AS rb, avg(CASE WHEN p_tuned>0.5 THEN 1.0 ELSE 0.0 END) AS rt FROM sc GROUP BY id"
+_COOP = "SELECT id, max(CASE WHEN p_base>0.5 THEN 1 ELSE 0 END) AS ab, max(CASE WHEN p_tuned>0.5 THEN 1 ELSE 0 END) AS a_t, avg(CASE WHEN p_base>0.5 THEN 1.0 ELSE 0.0 END) AS rb, avg(CASE WHEN p_tuned>0.5 THEN 1.0 ELSE 0.0 END) AS rt FROM sc GROUP BY id"
 
 
-@query("a31_cooperation", f"WITH {SQL_SCORES}, o AS ({_COOP}) SELECT round(1-avg(ab),6) AS joint_base, round(1-avg(at),6) AS joint_tuned, round(1-avg(rb),6) AS compliance_base, round(1-avg(rt),6) AS compliance_tuned FROM o")
+@query("a31_cooperation", f"WITH {SQL_SCORES}, o AS ({_COOP}) SELECT round(1-avg(ab),6) AS joint_base, round(1-avg(a_t),6) AS joint_tuned, round(1-avg(rb),6) AS compliance_base, round(1-avg(rt),6) AS compliance_tuned FROM o")
 def a31(spark, sf):
     return A.cooperation(scores(spark, sf))
 

@@ -23,21 +23,19 @@ def length_ratio(response: Column, context: Column) -> Column:
 
 def redundancy(response: Column) -> Column:
     """Mean overlap of the trigram sets of sentence pairs; null under 20 words."""
+
+    def mean_overlap(grams):
+        def against(g, i):
+            rest = F.filter(F.slice(grams, i + 2, F.size(grams)), lambda h: F.size(h) > 0)
+            return F.transform(rest, lambda h: F.size(F.array_intersect(g, h)) / F.least(F.size(g), F.size(h)))
+
+        shares = F.flatten(F.transform(grams, lambda g, i: F.when(F.size(g) > 0, against(g, i)).otherwise(F.array().cast("array<double>"))))
+        return T.let(shares, lambda x: F.coalesce(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), F.size(x)), F.lit(0.0)))
+
     grams = F.transform(T.sentences(response), lambda s: F.array_distinct(T.ngrams(T.words(F.lower(s)))))
-    n = F.size(grams)
-    index = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    shares = F.flatten(
-        F.transform(
-            index,
-            lambda i: F.transform(
-                F.filter(index, lambda j: (j > i) & (F.size(F.get(grams, i)) > 0) & (F.size(F.get(grams, j)) > 0)),
-                lambda j: F.size(F.array_intersect(F.get(grams, i), F.get(grams, j))) / F.least(F.size(F.get(grams, i)), F.size(F.get(grams, j))),
-            ),
-        )
-    )
-    mean = F.coalesce(F.try_divide(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.size(shares)), F.lit(0.0))
-    score = F.when(mean > 0.2, F.least(F.lit(1.0), mean / 0.5)).otherwise(0.0)
-    return F.when(T.n_words(response) >= 20, vote("redundancy", "quantity", F.when(n < 2, 0.0).otherwise(score), F.when(n < 2, 0.3).otherwise(0.6)))
+    score = T.let(T.let(grams, mean_overlap), lambda m: F.when(m > 0.2, F.least(F.lit(1.0), m / 0.5)).otherwise(0.0))
+    confidence = F.when(F.size(T.sentences(response)) < 2, 0.3).otherwise(0.6)
+    return F.when(T.n_words(response) >= 20, vote("redundancy", "quantity", score, confidence))
 
 
 def info_density(response: Column) -> Column:
@@ -72,30 +70,45 @@ def keyword_overlap(response: Column, context: Column) -> Column:
 
 def ambiguous_pronouns(response: Column) -> Column:
     start = F.array(*[F.lit(w) for w in T.START_PRONOUNS])
-    s, n = T.sentences(response), T.n_words(response)
-    starts = F.size(F.filter(s, lambda x: F.array_contains(start, F.regexp_replace(F.lower(F.coalesce(F.get(T.words(x), 0), F.lit(""))), r"[.,]+$", ""))))
-    ratio = F.size(T.pronouns(response)) / F.greatest(n, F.lit(1))
-    score = F.when(n < 5, 0.0).when((ratio > 0.15) & (starts > 1), F.least(F.lit(1.0), ratio / 0.3)).when((starts >= F.size(s) * 0.5) & (F.size(s) >= 2), 0.6).otherwise(0.0)
-    return vote("ambiguous_pronouns", "manner", score, F.when(n < 5, 0.3).otherwise(0.5))
+    first = lambda x: F.regexp_replace(F.lower(F.coalesce(F.get(T.words(x), 0), F.lit(""))), r"[.,]+$", "")
+    facts = T.let(
+        T.sentences(response),
+        lambda s: F.struct(
+            F.size(s).alias("n"), F.size(F.filter(s, lambda x: F.array_contains(start, first(x)))).alias("starts"),
+            T.n_words(response).alias("w"), (F.size(T.pronouns(response)) / F.greatest(T.n_words(response), F.lit(1))).alias("ratio"),
+        ),
+    )
+    score = lambda f: F.when(f["w"] < 5, 0.0).when((f["ratio"] > 0.15) & (f["starts"] > 1), F.least(F.lit(1.0), f["ratio"] / 0.3)).when((f["starts"] >= f["n"] * 0.5) & (f["n"] >= 2), 0.6).otherwise(0.0)
+    return T.let(facts, lambda f: vote("ambiguous_pronouns", "manner", score(f), F.when(f["w"] < 5, 0.3).otherwise(0.5)))
 
 
 def sentence_complexity(response: Column) -> Column:
-    lengths = F.transform(T.sentences(response), lambda s: T.n_words(s))
-    most = F.coalesce(F.array_max(lengths), F.lit(0))
-    mean = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(lengths), F.lit(1))
-    score = F.when(most > 50, 0.8).when(mean > 35, 0.5).when((mean > 25) & (most > 40), 0.4).otherwise(0.0)
-    return vote("sentence_complexity", "manner", score, F.when(F.size(lengths) == 0, 0.3).otherwise(0.6))
+    def judge(lengths):
+        most = F.coalesce(F.array_max(lengths), F.lit(0))
+        mean = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(lengths), F.lit(1))
+        score = F.when(most > 50, 0.8).when(mean > 35, 0.5).when((mean > 25) & (most > 40), 0.4).otherwise(0.0)
+        return vote("sentence_complexity", "manner", score, F.when(F.size(lengths) == 0, 0.3).otherwise(0.6))
+
+    return T.let(F.transform(T.sentences(response), lambda s: T.n_words(s)), judge)
 
 
 def combine(votes: Column) -> Column:
     """Struct (probability, agreement): mean weighted by confidence of the votes of 0.3 or more (else of all)."""
-    strong = F.filter(votes, lambda v: v["confidence"] >= 0.3)
-    used = F.when(F.size(strong) > 0, strong).otherwise(votes)
-    weight = F.aggregate(used, F.lit(0.0), lambda a, v: a + v["confidence"])
-    mean = F.coalesce(F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + v["score"] * v["confidence"]), weight), F.lit(0.0))
-    spread = F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + (v["score"] - mean) * (v["score"] - mean)), F.size(used))
-    agree = F.when(F.size(used) == 0, 0.0).when(F.size(used) == 1, 1.0).otherwise(1 - F.least(F.lit(1.0), 4 * spread))
-    return F.struct(mean.alias("probability"), agree.alias("agreement"))
+
+    def strong(v):
+        return T.let(F.filter(v, lambda x: x["confidence"] >= 0.3), lambda s: F.when(F.size(s) > 0, s).otherwise(v))
+
+    def sums(used):
+        weight = F.aggregate(used, F.lit(0.0), lambda a, v: a + v["confidence"])
+        mean = F.coalesce(F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + v["score"] * v["confidence"]), weight), F.lit(0.0))
+        return T.let(mean, lambda m: label(used, m))
+
+    def label(used, m):
+        spread = F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + (v["score"] - m) * (v["score"] - m)), F.size(used))
+        agree = F.when(F.size(used) == 0, 0.0).when(F.size(used) == 1, 1.0).otherwise(1 - F.least(F.lit(1.0), 4 * spread))
+        return F.struct(m.alias("probability"), agree.alias("agreement"))
+
+    return T.let(T.let(votes, strong), sums)
 
 
 def weak_labels(response: Column, context: Column, evidence: Column) -> dict[str, Column]:

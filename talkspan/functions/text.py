@@ -61,6 +61,11 @@ JARGON_ALL = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: column expressions are trees, so a reused part would be repeated."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
 
@@ -128,24 +133,33 @@ def word_bang(c: Column) -> Column:
     return (F.size(w) >= 5) & (share > 0.25)
 
 
+def _most(tokens: Column) -> Column:
+    """How often the most frequent token occurs."""
+    return F.coalesce(F.array_max(F.transform(F.array_distinct(tokens), lambda g: F.size(F.filter(tokens, lambda x: x == g)))), F.lit(0))
+
+
+def _occurrences(c: Column, mark: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+
+
 def is_degenerate(c: Column) -> Column:
-    w = words(c)
-    n = F.greatest(F.size(w), F.lit(1))
-    grams = ngrams(w)
-    most = F.coalesce(F.array_max(F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)))), F.lit(0))
-    marks = F.size(F.filter(w, lambda x: x.rlike(r"^[^\w\s]+$")))
-    bangs = F.length(c) - F.length(F.replace(c, F.lit("!"), F.lit("")))
-    return (F.length(strip(c)) < 8) | c.rlike(r"([!?,.;:\-])\1{2,}") | (bangs / n > 0.15) | (marks / n > 0.20) | (most > 2)
+    def judge(w):
+        n = F.greatest(F.size(w), F.lit(1))
+        marks = F.size(F.filter(w, lambda x: x.rlike(r"^[^\w\s]+$")))
+        return (_occurrences(c, "!") / n > 0.15) | (marks / n > 0.20) | (let(ngrams(w), _most) > 2)
+
+    return (F.length(strip(c)) < 8) | c.rlike(r"([!?,.;:\-])\1{2,}") | let(words(c), judge)
 
 
 def quality_response(c: Column) -> Column:
     """10 to 150 words, at most two question marks, no word over 0.3 of them, mean word length of 3 or more."""
-    w = words(F.lower(c))
-    n = F.size(w)
-    most = F.coalesce(F.array_max(F.transform(F.array_distinct(w), lambda d: F.size(F.filter(w, lambda x: x == d)))), F.lit(0))
-    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    marks = F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit("")))
-    return n.between(10, 150) & (marks <= 2) & ((n <= 10) | (most <= 0.3 * n)) & (chars / F.greatest(n, F.lit(1)) >= 3)
+
+    def judge(w):
+        n = F.size(w)
+        chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        return n.between(10, 150) & ((n <= 10) | (_most(w) <= 0.3 * n)) & (chars / F.greatest(n, F.lit(1)) >= 3)
+
+    return (_occurrences(c, "?") <= 2) & let(words(F.lower(c)), judge)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -163,12 +177,13 @@ def pick(key: Column, salt: str, n: int) -> Column:
 
 def jargon(c: Column, most: int = 3) -> Column:
     """First occurrences of the first `most` words of JARGON that occur."""
-    state = F.struct(c.alias("t"), F.lit(0).alias("n"))
-    for common, technical in JARGON:
-        t, n = state["t"], state["n"]
-        hit = (n < most) & t.rlike(rf"(?i)\b{common}\b")
-        state = F.struct(F.when(hit, F.regexp_replace(t, rf"(?is)^(.*?)\b{common}\b", "$1" + technical)).otherwise(t).alias("t"), F.when(hit, n + 1).otherwise(n).alias("n"))
-    return state["t"]
+    table = F.array(*[F.struct(F.lit(rf"(?i)\b{a}\b").alias("find"), F.lit(rf"(?is)^(.*?)\b{a}\b").alias("cut"), F.lit("$1" + b).alias("to")) for a, b in JARGON])
+
+    def step(acc, j):
+        hit = (acc["n"] < most) & F.regexp_like(acc["t"], j["find"])
+        return F.struct(F.when(hit, F.regexp_replace(acc["t"], j["cut"], j["to"])).otherwise(acc["t"]).alias("t"), F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+
+    return F.aggregate(table, F.struct(c.alias("t"), F.lit(0).alias("n")), step)["t"]
 
 
 def jargon_all(c: Column) -> Column:
