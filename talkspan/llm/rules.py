@@ -195,10 +195,10 @@ def judge(docs: DataFrame) -> DataFrame:
     groups of their own. Null doc_ids and repeated rows are judged like any other. With too few rows for any estimate
     no document is an outlier and distance is null. Empty table: empty result. Extra columns are not read.
     """
-    rows = materialize(with_features(document_statistics(docs)).withColumns({"lang": F.coalesce("lang", F.lit("\x00")), "source": F.coalesce("source", F.lit("\x00")), "base_failed": base_failed()}), "statistics")
-    fit = rows.where(~F.col("base_failed")).withColumn("every", F.lit("*"))
+    rows = materialize(with_features(document_statistics(docs)).withColumns({"lang": F.coalesce("lang", F.lit("\x00")), "source": F.coalesce("source", F.lit("\x00")), "base_failed": base_failed(), "every": F.lit("*")}), "statistics")
+    fit = rows.where(~F.col("base_failed"))
     levels = [["lang", "source"], ["lang"], ["every"]]
-    out = rows.withColumn("every", F.lit("*"))
+    out = rows  # "every" is a stored column: a literal would fold away and turn the join on it into a nested loop
     for k, keys in enumerate(levels):
         est = estimates(fit, keys).select(*keys, F.col("mu").alias(f"mu{k}"), F.col("inv").alias(f"inv{k}"))
         out = out.join(est, keys, "left")
