@@ -182,7 +182,8 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     for _ in range(FULL_STEPS):
         far = rows.join(current, keys).withColumn("_d", _distance_column())
-        edge = far.groupBy(*keys).agg(F.percentile_approx("_d", F.lit(SHARE), F.lit(10000)).alias("_edge"))
+        # written, as its size lets Spark broadcast it: rows of a group are not dealt to one task to meet their edge
+        edge = materialize(far.groupBy(*keys).agg(F.percentile_approx("_d", F.lit(SHARE), F.lit(10000)).alias("_edge")), "edge")
         near = far.join(edge, keys).where(F.col("_d") <= F.col("_edge"))
         current = materialize(near.groupBy(*keys).agg(*sums).mapInPandas(lambda it: map(close, it), shape), "estimate")
     return current
