@@ -529,3 +529,110 @@ def votes(spark, sf):
 def x14(spark, sf):
     t = F.col("text")
     return turns(spark, sf).select("conv_id", "turn", T.word_bang(t).alias("word_bang"), T.is_degenerate(t).alias("degenerate"), T.quality_response(t).alias("quality"), F.md5(T.clean_artifacts(t)).alias("cleaned"))
+
+
+# ---- more metrics, samples and pairs ---------------------------------------------------------------------------
+
+_SYS = "sy AS (SELECT id, maxim, 'base' AS system, p_base AS p FROM sc UNION ALL SELECT id, maxim, 'tuned', p_tuned FROM sc)"
+
+
+def system_scores(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.explode(F.array(F.struct(F.lit("base").alias("system"), F.col("p_base").alias("p")), F.struct(F.lit("tuned").alias("system"), F.col("p_tuned").alias("p"))))
+    return scores(spark, sf).select("id", "maxim", s.alias("s")).select("id", "maxim", "s.*")
+
+
+@query("a02_distribution", "SELECT source, count(*) AS n, round(100.0*count(*)/sum(count(*)) OVER (),6) AS pct FROM documents GROUP BY source")
+def a02(spark, sf):
+    c = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return c.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("a04_a05_weights", f"WITH {SQL_SCORES}, c AS (SELECT maxim, sum(y)::BIGINT AS pos, count(*) AS n FROM sc GROUP BY maxim) SELECT maxim, CASE WHEN pos=0 THEN 1.0 ELSE round(n/2/pos,6) END AS filter_weight, round((n-pos)/(pos+1e-6),6) AS pos_weight FROM c")
+def a04(spark, sf):
+    pos, n = F.col("pos"), F.col("n")
+    c = scores(spark, sf).groupBy("maxim").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    return c.select("maxim", F.when(pos == 0, 1.0).otherwise(F.round(n / 2 / pos, 6)).alias("filter_weight"), F.round((n - pos) / (pos + F.lit(1e-6)), 6).alias("pos_weight"))
+
+
+@query("a19_system_comparison", f"WITH {SQL_SCORES}, {_SYS} SELECT system, maxim, round(avg(p),6) AS mean, round(stddev_pop(p),6) AS std, count(*) AS n FROM sy GROUP BY system, maxim")
+def a19(spark, sf):
+    return system_scores(spark, sf).groupBy("system", "maxim").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev_pop("p"), 6).alias("std"), F.count("*").alias("n"))
+
+
+@query("a20_mann_whitney", f"WITH {SQL_SCORES}, {_SYS}, r AS (SELECT maxim, system, rank() OVER (PARTITION BY maxim ORDER BY p) + (count(*) OVER (PARTITION BY maxim, p) - 1)/2 AS r FROM sy), g AS (SELECT maxim, count(*) FILTER (system='base') AS n_first, count(*) FILTER (system='tuned') AS n_second, sum(r) FILTER (system='base') AS s FROM r GROUP BY maxim) SELECT maxim, n_first, n_second, (s - n_first*(n_first+1)/2)::DOUBLE AS u FROM g")
+def a20(spark, sf):
+    return A.mann_whitney(system_scores(spark, sf), "maxim", "p", "system", "base", "tuned")
+
+
+@query("a36_relevance_summary", f"WITH {SQL_SCORES} SELECT maxim, round(avg(p_tuned),6) AS mean, round(stddev_pop(p_tuned),6) AS std, min(p_tuned)::DOUBLE AS least, max(p_tuned)::DOUBLE AS most, round(avg(p_tuned-p_base),6) AS improvement, round(100*avg(CASE WHEN p_tuned>p_base THEN 1.0 ELSE 0.0 END),6) AS pct_improved FROM sc GROUP BY maxim")
+def a36(spark, sf):
+    new, gain = F.col("p_tuned"), F.col("p_tuned") - F.col("p_base")
+    better = F.avg(F.when(F.col("p_tuned") > F.col("p_base"), 1.0).otherwise(0.0))
+    cols = [F.round(F.avg(new), 6).alias("mean"), F.round(F.stddev_pop(new), 6).alias("std"), F.min(new).alias("least"), F.max(new).alias("most"), F.round(F.avg(gain), 6).alias("improvement"), F.round(100 * better, 6).alias("pct_improved")]
+    return scores(spark, sf).groupBy("maxim").agg(*cols)
+
+
+@query("a37_quantity_clarity", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text,'')),'\\S+') AS w FROM conversations WHERE role='assistant') SELECT conv_id, turn, CASE WHEN len(w)<15 THEN 0.5 WHEN len(w)<=150 THEN 1.0 ELSE 0.7 END::DOUBLE AS quantity, CASE WHEN len(w)=0 THEN 0 ELSE round(least(1,1.2*len(list_distinct(w))/len(w)),6) END::DOUBLE AS clarity FROM w")
+def a37(spark, sf):
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\S+)"), F.lit(1))
+    t = turns(spark, sf).where("role = 'assistant'").select("conv_id", "turn", F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"))
+    quantity = F.when(F.col("n") < 15, 0.5).when(F.col("n") <= 150, 1.0).otherwise(0.7)
+    clarity = F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), 1.2 * F.col("d") / F.col("n")), 6))
+    return t.select("conv_id", "turn", quantity.alias("quantity"), clarity.alias("clarity"))
+
+
+@query("t07_t14_holdout", "SELECT doc_id, k <= greatest(n*15//100,1) AS held_out FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR||'|hold'), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)")
+def t07(spark, sf):
+    return S.holdout(table(spark, sf, "documents").select("doc_id", "source"), ["source"], 15, "doc_id", "hold").select("doc_id", "held_out")
+
+
+_CLASS = "SELECT doc_id, CASE WHEN toxic=1 THEN 'harmful' WHEN quality=0 THEN 'poor' ELSE 'good' END AS class FROM labels"
+
+
+def _classes(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "harmful").when(F.col("quality") == 0, "poor").otherwise("good").alias("class"))
+
+
+def _balanced(share: str) -> str:
+    return f"WITH l AS ({_CLASS}), r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(doc_id::VARCHAR||'|ratio'), doc_id) AS k, {share} AS s FROM l), t AS (SELECT min(c*100//s) AS total FROM (SELECT s, count(*) AS c FROM r GROUP BY class, s)) SELECT doc_id, class FROM r, t WHERE k <= total*s//100"
+
+
+@query("t09_ratio_balance", _balanced("CASE class WHEN 'good' THEN 40 ELSE 30 END"))
+def t09(spark, sf):
+    return S.balance_to_ratio(_classes(spark, sf), "class", {"good": 40, "poor": 30, "harmful": 30}, "doc_id", "ratio")
+
+
+@query("t10_balance_to_least", _balanced("100"))
+def t10(spark, sf):
+    return S.balance_to_ratio(_classes(spark, sf), "class", {"good": 100, "poor": 100, "harmful": 100}, "doc_id", "ratio")
+
+
+_NEXT = "SELECT conv_id*1000+turn AS id, text AS chosen, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS rejected FROM conversations WHERE role='assistant'"
+
+
+@query("t16_pair_dedup", f"SELECT min(id) AS id, chosen, rejected FROM ({_NEXT}) WHERE rejected IS NOT NULL GROUP BY chosen, rejected")
+def t16(spark, sf):
+    return S.keep_first(preference_pairs(spark, sf).select("id", "chosen", "rejected"), F.struct("chosen", "rejected"), "id")
+
+
+@query("j02_unblinding", "SELECT source, count(*) AS n, round(avg(quality),6) AS mean_quality FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def j02(spark, sf):
+    r = table(spark, sf, "labels").select("doc_id", "quality").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return r.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+
+
+@query("j11_response_pairs", "WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role='assistant') SELECT a.conv_id, chr((64+a.k)::INT)||chr((64+b.k)::INT) AS pair, a.text AS first, b.text AS second FROM r a JOIN r b ON a.conv_id=b.conv_id AND a.k<b.k AND b.k<=3")
+def j11(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    r = turns(spark, sf).where("role = 'assistant'").withColumn("k", F.row_number().over(w)).where("k <= 3")
+    said = [F.max(F.when(F.col("k") == k, F.struct("text"))).alias(c) for k, c in enumerate("ABC", 1)]
+    pairs = F.array(*(F.struct(F.lit(x + y).alias("pair"), F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("AB", "BC", "AC")))
+    return r.groupBy("conv_id").agg(*said).select("conv_id", F.explode(pairs).alias("p")).where("p.b is not null").select("conv_id", "p.pair", F.col("p.a.text").alias("first"), F.col("p.b.text").alias("second"))
+
+
+@query("x19_match", f"WITH p AS (SELECT id, lower(chosen) AS a, lower(rejected) AS b FROM ({_NEXT}) WHERE rejected IS NOT NULL), w AS (SELECT *, list_distinct(regexp_extract_all(a,'\\S+')) AS wa, list_distinct(regexp_extract_all(b,'\\S+')) AS wb FROM p) SELECT id, a=b AS exact, contains(a,b) OR contains(b,a) AS close, CASE WHEN len(wb)=0 THEN 0 ELSE round(len(list_intersect(wa,wb))/len(wb),6) END::DOUBLE AS overlap FROM w")
+def x19(spark, sf):
+    p = preference_pairs(spark, sf).select("id", F.lower("chosen").alias("a"), F.lower("rejected").alias("b"))
+    a, b = (F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"(\S+)"), F.lit(1))) for c in "ab")
+    overlap = F.when(F.size(b) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.size(b), 6))
+    return p.select("id", (F.col("a") == F.col("b")).alias("exact"), (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))).alias("close"), overlap.alias("overlap"))

@@ -142,3 +142,11 @@ def index_percentiles(rows: DataFrame, column: str, percents: list[int]) -> Data
     run = counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
     want = run.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("k", F.floor(F.col("total") * F.col("p") / 100))
     return want.where("upto > k").groupBy("p").agg(F.min("v").alias("value"))
+
+
+def mann_whitney(rows: DataFrame, key: str, value: str, system: str, first: str, second: str) -> DataFrame:
+    """U of the first system over the second for each key, ties as half. Counts of distinct values are ranked, not rows."""
+    c = rows.groupBy(key, value).agg(F.count_if(F.col(system) == first).alias("a"), F.count_if(F.col(system) == second).alias("b"))
+    w = Window.partitionBy(key).orderBy(value)
+    u = c.withColumn("u", F.col("a") * (F.sum("b").over(w) - F.col("b") / 2))
+    return u.groupBy(key).agg(F.sum("a").alias("n_first"), F.sum("b").alias("n_second"), F.sum("u").alias("u"))

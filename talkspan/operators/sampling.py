@@ -47,3 +47,36 @@ def every_nth(rows: DataFrame, keys: list[str], id_: str, cap: int) -> DataFrame
 
 def oversample(rows: DataFrame, times: int) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def ranked(rows: DataFrame, keys: list[str], id_: str, salt: str) -> DataFrame:
+    """Columns _k (from 1) and _n: place of each row in its group's md5 order, and the group's size.
+
+    Ranks of hash prefixes come first, then places inside a prefix, so a hot group is sorted by up to 4096 tasks.
+    """
+    r = rows.withColumn("_h", order_key(id_, salt)).withColumn("_p", F.substring("_h", 1, 3))
+    w = Window.partitionBy(*keys)
+    sizes = r.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    sizes = sizes.select(*keys, "_p", (F.sum("_c").over(w.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    k = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", id_))
+    same = [r[c].eqNullSafe(sizes[c]) for c in (*keys, "_p")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    joined = r.join(sizes, on).drop(*(sizes[c] for c in (*keys, "_p")))
+    return joined.withColumn("_k", k).drop("_h", "_p", "_before")
+
+
+def holdout(rows: DataFrame, keys: list[str], percent: int, id_: str, salt: str) -> DataFrame:
+    """Column held_out: percent of each group, rounded down, one row at least."""
+    r = ranked(rows, keys, id_, salt)
+    return r.withColumn("held_out", F.col("_k") <= F.greatest(F.floor(F.col("_n") * percent / 100), F.lit(1))).drop("_k", "_n")
+
+
+def balance_to_ratio(rows: DataFrame, key: str, percents: dict[str, int], id_: str, salt: str) -> DataFrame:
+    """The largest sample whose groups have the given shares; groups without a share go. Equal shares: the least size."""
+    share = F.create_map(*(F.lit(x) for kv in percents.items() for x in kv))[F.col(key)]
+    own = rows.where(F.col(key).isin(*percents))
+    total = F.min(F.floor(F.col("_c") * 100 / share)).over(Window.partitionBy())  # over one row a group
+    caps = own.groupBy(key).agg(F.count("*").alias("_c")).select(key, F.floor(total * share / 100).alias("_take"))
+    return ranked(own, [key], id_, salt).join(caps, key).where(F.col("_k") <= F.col("_take")).drop("_k", "_n", "_take")

@@ -43,7 +43,7 @@ def _key(row):
     return tuple(f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "as_tuple") else str(v) for v in row)
 
 
-@pytest.mark.parametrize("name", ["p01_context_examples", "h08_keyword_overlap", "a10_a11_multilabel", "a12_auc", "a31_cooperation", "p17_fix_inverted", "t02_hash_dedup", "t17_blinding", "j09_nearest", "i10_runon"])
+@pytest.mark.parametrize("name", ["p01_context_examples", "h08_keyword_overlap", "a10_a11_multilabel", "a12_auc", "a31_cooperation", "p17_fix_inverted", "t02_hash_dedup", "t17_blinding", "j09_nearest", "i10_runon", "a02_distribution", "a04_a05_weights", "a19_system_comparison", "a20_mann_whitney", "a36_relevance_summary", "a37_quantity_clarity", "t07_t14_holdout", "t09_ratio_balance", "t10_balance_to_least", "t16_pair_dedup", "j02_unblinding", "j11_response_pairs", "x19_match"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"):
