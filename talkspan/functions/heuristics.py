@@ -119,3 +119,36 @@ def weak_labels(response: Column, context: Column, evidence: Column) -> dict[str
         "relation": combine(F.array(keyword_overlap(response, context))),
         "manner": combine(F.array(ambiguous_pronouns(response), sentence_complexity(response))),
     }
+
+
+def semantic_similarity(similarity: Column) -> Column:
+    """A vote from the cosine of response and context."""
+    return vote("semantic_similarity", "relation", F.when(similarity < 0.2, (0.2 - similarity) / 0.2).otherwise(0.0), 0.8)
+
+
+def evidence_similarity(similarity: Column) -> Column:
+    """A vote from the cosine of response and evidence."""
+    return vote("evidence_similarity", "quality", F.when(similarity < 0.3, (0.3 - similarity) / 0.3).otherwise(0.0), 0.7)
+
+
+def readability(response: Column) -> Column:
+    """School grade over 16; null under ten words. Syllables are taken as groups of vowels, one a word at least."""
+
+    def judge(w):
+        syllables = F.aggregate(w, F.lit(0), lambda a, x: a + F.greatest(F.size(F.regexp_extract_all(F.lower(x), F.lit("[aeiouy]+"), F.lit(0))), F.lit(1)))
+        n = F.greatest(F.size(w), F.lit(1))
+        grade = 0.39 * n / F.greatest(F.size(T.sentences(response)), F.lit(1)) + 11.8 * syllables / n - 15.59
+        score = T.let(grade, lambda g: F.when(g > 16, F.least(F.lit(1.0), (g - 16) / 4)).otherwise(0.0))
+        return F.when(F.size(w) >= 10, vote("readability", "manner", score, 0.6))
+
+    return T.let(T.words(response), judge)
+
+
+def sentence_overlaps(response: Column) -> Column:
+    """Overlaps (shared over the smaller) of the word sets of each two sentences of a text, as one array."""
+
+    def all_(s):
+        share = lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
+        return F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda y: share(x, y))))
+
+    return T.let(F.transform(T.sentences(response), lambda x: F.array_distinct(T.words(F.lower(x)))), all_)

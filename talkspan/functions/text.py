@@ -204,3 +204,9 @@ def first_piece(c: Column) -> Column:
 
 def lower_first(c: Column) -> Column:
     return F.concat(F.lower(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
+
+
+def normalized(c: Column, collapse: bool = False) -> Column:
+    """Stripped text, with runs of white space as one blank if collapse; null becomes empty."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return F.regexp_replace(t, r"\s+", " ") if collapse else t

@@ -34,3 +34,18 @@ def extract_components(c) -> dict:
 def adjacent_pairs(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     return turns.select("conv_id", "turn", F.lag("text").over(w).alias("context"), F.col("text").alias("response")).where("context is not null")
+
+
+def format_repair_input(types) -> "F.Column":
+    """Control tokens of the task and of each violated maxim in types, then context, evidence and response."""
+    known = F.filter(types, lambda m: m.isin("quantity", "quality", "relation", "manner"))
+    tokens = F.transform(known, lambda m: F.concat(F.lit("[VIOLATION="), F.upper(m), F.lit("]")))
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = F.array_join(F.concat(F.array(F.lit("[REPAIR]")), tokens, F.array(F.lit("[CONTEXT]"))), " ")
+    return F.concat_ws(" ", head, part("context_text"), F.lit("[EVIDENCE]"), part("evidence"), F.lit("[RESPONSE]"), part("response"))
+
+
+def original_response(c) -> "F.Column":
+    """The text after the last response mark; without one, the last piece between full stops, with a full stop."""
+    last = T.strip(F.substring_index(T.strip(c), ".", -1))
+    return F.when(c.contains("[RESPONSE]"), T.strip(F.substring_index(c, "[RESPONSE]", -1))).otherwise(F.concat(last, F.lit(".")))

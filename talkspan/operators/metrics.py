@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 KEYS = ["maxim"]
 
 
@@ -150,3 +152,33 @@ def mann_whitney(rows: DataFrame, key: str, value: str, system: str, first: str,
     w = Window.partitionBy(key).orderBy(value)
     u = c.withColumn("u", F.col("a") * (F.sum("b").over(w) - F.col("b") / 2))
     return u.groupBy(key).agg(F.sum("a").alias("n_first"), F.sum("b").alias("n_second"), F.sum("u").alias("u"))
+
+
+def baseline_scores(c: Column) -> dict[str, Column]:
+    """quantity by number of words, clarity by share of distinct words; a null text has no words."""
+    w = T.words(F.lower(F.coalesce(c, F.lit(""))))
+    quantity = F.when(F.size(w) < 15, 0.5).when(F.size(w) <= 150, 1.0).otherwise(0.7)
+    clarity = F.when(F.size(w) == 0, 0.0).otherwise(F.least(F.lit(1.0), 1.2 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))))
+    return {"quantity": quantity, "clarity": clarity}
+
+
+def repair_success(rows: DataFrame, before: str, after: str, text: str) -> DataFrame:
+    """Adds v_before, v_after, v_new, removal and success: something fixed, nothing new, no word-bang text."""
+    n = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
+    b, a = F.col(before), F.col(after)
+    new, fixed = F.zip_with(b, a, lambda x, y: ~x & y), F.zip_with(b, a, lambda x, y: x & ~y)
+    out = rows.withColumns({"v_before": n(b), "v_after": n(a), "v_new": n(new)})
+    removal = F.round(1 - F.col("v_after") / F.greatest("v_before", F.lit(1)), 6)
+    return out.withColumns({"removal": removal, "success": (n(fixed) > 0) & (F.col("v_new") == 0) & ~T.word_bang(F.col(text))})
+
+
+def artifact_counts(rows: DataFrame, text: str, marks: list[str], keys: list[str]) -> DataFrame:
+    """Texts with each mark, and texts in which a phrase of three words (but the last four) occurs three times or more."""
+    c = F.col(text)
+
+    def thrice(w):
+        phrases = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 6, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+        often = F.exists(phrases, lambda p: F.floor((F.length(c) - F.length(F.replace(c, p, F.lit("")))) / F.length(p)) >= 3)
+        return (F.size(w) > 6) & often
+
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(c.contains(m)).alias(f"mark{k}") for k, m in enumerate(marks)), F.count_if(T.let(T.words(c), thrice)).alias("repeating"))

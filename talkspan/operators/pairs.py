@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 MAXIMS = ["quantity", "quality", "relation", "manner"]
 M = [f"m_{m}" for m in MAXIMS]
 
@@ -58,3 +60,75 @@ def best_maxim():
     """The maxim of the greatest margin; the first wins ties."""
     most = F.greatest(*M)
     return F.coalesce(*[F.when(F.col(f"m_{m}") == most, m) for m in MAXIMS])
+
+
+def extract_labels(maxim, violation_type) -> dict:
+    """0 or 1 of each maxim: the named one, or for 'multiple' those that violation_type contains."""
+    return {m: F.when((maxim == m) | ((maxim == "multiple") & violation_type.contains(m)), 1).otherwise(0) for m in MAXIMS}
+
+
+def violated_maxims(maxim, violation_type):
+    """The maxims of a repair row as an array."""
+    inside = F.filter(F.array(*map(F.lit, MAXIMS)), lambda m: F.contains(F.lower(violation_type), m))
+    return F.when(maxim == "multiple", inside).otherwise(F.array(maxim))
+
+
+def repairable(rows: DataFrame, original: str) -> DataFrame:
+    """Rows with a violation and a text to repair; null kinds and texts go."""
+    return rows.where((F.col("maxim") != "none") & (F.col("violation_type") != "none") & (F.col(original) != ""))
+
+
+def uncertain_maxims(p: dict, low: float = 0.25, high: float = 0.75):
+    """Comma-joined names of the probabilities from low to high; a missing one counts as certain."""
+    return F.array_join(F.array_compact(F.array(*(F.when((c >= low) & (c <= high), m) for m, c in p.items()))), ",")
+
+
+def manner_conflict(limit: float = 0.15):
+    """True if manner is clearly on one side and another maxim clearly on the other."""
+    m = F.col("m_manner")
+    out = F.lit(False)
+    for c in M[:3]:
+        out = out | ((F.col(c) > limit) & (m < -limit)) | ((F.col(c) < -limit) & (m > limit))
+    return out
+
+
+def manner_filter(pairs: DataFrame, mild: float = -0.15, firm: float = 0.05) -> DataFrame:
+    """Pairs with manner over mild; if their mean manner is not positive, those over firm. One number goes to the driver."""
+    kept = pairs.where(F.col("m_manner") > mild)
+    mean = kept.agg(F.avg("m_manner")).first()[0]
+    return kept if mean is not None and mean > 0 else pairs.where(F.col("m_manner") > firm)
+
+
+def fix_manner(pairs: DataFrame, keep_over: float = 0.05) -> DataFrame:
+    """Pairs whose manner is bad where the rest is good, or that are negative throughout, are swapped and kept if then over keep_over."""
+    rest = (F.col("m_quantity") + F.col("m_quality") + F.col("m_relation")) / 3
+    every = (F.col("m_quantity") < 0) & (F.col("m_quality") < 0) & (F.col("m_relation") < 0) & (F.col("m_manner") < 0)
+    return _swap(pairs, ((F.col("m_manner") < -0.2) & (rest > 0.1)) | every, keep_over)
+
+
+def _swap(pairs: DataFrame, which, keep_over: float) -> DataFrame:
+    out = pairs.withColumn("swapped", F.coalesce(which, F.lit(False)))
+    s = F.col("swapped")
+    cols = {"chosen": F.when(s, F.col("rejected")).otherwise(F.col("chosen")), "rejected": F.when(s, F.col("chosen")).otherwise(F.col("rejected"))}
+    cols |= {c: F.when(s, -F.col(c)).otherwise(F.col(c)) for c in [*M, "avg_margin"]}
+    return out.withColumns(cols).where(~s | (F.col("avg_margin") > keep_over))
+
+
+# Log and mail artefacts.
+ARTIFACTS = [r"\[\d{2}:\d{2}:\d{2}\].*\[Server", r"From:.*@.*\.\w+", r"\[Client thread/INFO\]"]
+
+
+def clean_annotated(rows: DataFrame, least_words: int = 8) -> DataFrame:
+    """Adds chosen, rejected (stripped), strength and reason ('kept', or the first test failed) to (preference, a, b)."""
+    first = F.col("preference").startswith("A")
+    out = rows.withColumns({"chosen": T.strip(F.when(first, F.col("a")).otherwise(F.col("b"))), "rejected": T.strip(F.when(first, F.col("b")).otherwise(F.col("a")))})
+    c, r = F.col("chosen"), F.col("rejected")
+    reason = (
+        F.when(F.col("preference") == "equal", "equal_skip")
+        .when((F.coalesce(T.n_words(c), F.lit(0)) < least_words) | (F.coalesce(T.n_words(r), F.lit(0)) < least_words), "too_short")
+        .when(c == r, "identical")
+        .when(T.word_bang(c), "chosen_word_bang")
+        .when(c.rlike("|".join(ARTIFACTS)), "chosen_artifact")
+        .otherwise("kept")
+    )
+    return out.withColumn("strength", F.when(F.col("preference").contains("much"), 1.0).otherwise(0.6)).withColumn("reason", reason)

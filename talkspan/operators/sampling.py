@@ -80,3 +80,19 @@ def balance_to_ratio(rows: DataFrame, key: str, percents: dict[str, int], id_: s
     total = F.min(F.floor(F.col("_c") * 100 / share)).over(Window.partitionBy())  # over one row a group
     caps = own.groupBy(key).agg(F.count("*").alias("_c")).select(key, F.floor(total * share / 100).alias("_take"))
     return ranked(own, [key], id_, salt).join(caps, key).where(F.col("_k") <= F.col("_take")).drop("_k", "_n", "_take")
+
+
+def quota_sample(rows: DataFrame, wants: list, id_: str, salt: str) -> DataFrame:
+    """wants: (category, condition, quota) in turn; each takes the first of its rows, in md5 order, that none before took.
+
+    What earlier categories took has at most the sum of their quotas as rows, so it is broadcast.
+    """
+    taken, out = None, None
+    for k, (category, condition, quota) in enumerate(wants):
+        own = rows.where(condition)
+        if taken is not None:
+            own = own.join(F.broadcast(taken), id_, "left_anti")
+        own = own.orderBy(order_key(id_, f"{salt}{k}"), id_).limit(quota).withColumn("category", F.lit(category))
+        taken = own.select(id_) if taken is None else taken.unionByName(own.select(id_))
+        out = own if out is None else out.unionByName(own)
+    return out
