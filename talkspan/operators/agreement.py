@@ -62,8 +62,12 @@ def bleu(rows: DataFrame, key: str, hypothesis: str, reference: str, epsilon: fl
     """
     tokens = lambda c: T.words(F.lower(F.coalesce(F.col(c), F.lit(""))))
     t = rows.select(key, tokens(hypothesis).alias("h"), tokens(reference).alias("r"))
-    grams = lambda c, side: [F.transform(T.ngrams(F.col(c), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side"))) for n in range(1, order + 1)]
-    long = t.select(key, F.explode(F.concat(*grams("h", 0), *grams("r", 1))).alias("x")).select(key, "x.*")
+
+    def grams(c: str, side: int, n: int) -> Column:
+        return F.transform(T.ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")))
+
+    both = [grams(c, side, n) for side, c in enumerate("hr") for n in range(1, order + 1)]
+    long = t.select(key, F.explode(F.concat(*both)).alias("x")).select(key, "x.*")
     counts = long.groupBy(key, "n", "g").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     hits = counts.groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"hit{n}") for n in range(1, order + 1)))
     sizes = t.select(key, F.size("h").alias("hn"), F.size("r").alias("rn"))
