@@ -42,10 +42,7 @@ def problem():
 def fix_inverted(pairs: DataFrame, keep_over: float = 0.05) -> DataFrame:
     """Pairs with three or more negative margins are swapped and kept if their average is then over keep_over."""
     inverted = sum((F.when(F.col(c) < 0, 1).otherwise(0) for c in M), F.lit(0)) >= 3
-    out = pairs.withColumn("swapped", inverted)
-    swap = {"chosen": F.when(inverted, F.col("rejected")).otherwise(F.col("chosen")), "rejected": F.when(inverted, F.col("chosen")).otherwise(F.col("rejected"))}
-    swap |= {c: F.when(inverted, -F.col(c)).otherwise(F.col(c)) for c in [*M, "avg_margin"]}
-    return out.withColumns(swap).where(~F.col("swapped") | (F.col("avg_margin") > keep_over))
+    return _swap(pairs, inverted, keep_over)
 
 
 def quality(pairs: DataFrame) -> DataFrame:

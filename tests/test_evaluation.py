@@ -77,4 +77,4 @@ def test_labels_of_odd_rows(spark):
     rows = spark.createDataFrame([("multiple", "multi_Quality_manner"), ("manner", "x"), (None, None), ("none", "none")], "m string, v string")
     out = rows.select(*(c.alias(k) for k, c in P.extract_labels(F.col("m"), F.col("v")).items())).collect()
     assert [tuple(r) for r in out] == [(0, 0, 0, 1), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
-    assert P.repairable(rows, "v").count() == 2
+    assert P.repairable(rows.toDF("maxim", "violation_type"), "violation_type").count() == 2
