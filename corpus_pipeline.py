@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkspan.llm import decontam, packing, rules, simhash, suffix
+from talkspan.llm import decontam, jaccard, packing, rules, suffix
 from talkspan.llm.common import materialize
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by five-word shingles at similarity 0.8 stays, the one with the smallest doc_id."""
+    return jaccard.drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,11 @@ def doc_key(doc_id: str = "doc_id", text: str = "text"):
     return F.coalesce(F.col(doc_id), tail + F.lit(1 << 62))
 
 
+def row_key() -> dict:
+    """What tells documents apart, null and repeated ids included: the order key, and a hash of the text."""
+    return {"_key": doc_key().cast("long"), "_hash": F.xxhash64("text")}
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, from one native scan."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

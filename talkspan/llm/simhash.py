@@ -29,10 +29,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def fingerprints(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
-    """64-bit SimHash of each text over its word shingles, repeats included; null or wordless: zero."""
+def shingle_hashes(texts: pa.Array, words: int, seed: int):
+    """(first row, shingles of each row, their hashes) of each chunk; fewer words than a shingle are one shingle."""
     data, offs = raw(texts)
-    out = np.zeros(len(offs) - 1, np.uint64)
     digest = xxhash.xxh64_intdigest
     for i, j in chunks(offs):
         d, o = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
@@ -53,7 +52,13 @@ def fingerprints(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
         w0 = first[doc] + rank
         w1 = np.minimum(w0 + words, first[doc] + count[doc]) - 1
         view = memoryview(joined.tobytes())
-        h = np.array([digest(view[s:e], seed) for s, e in zip((at[w0] + 1).tolist(), (at[w1] + size[w1]).tolist())], np.uint64)
+        yield i, n_sh, np.array([digest(view[s:e], seed) for s, e in zip((at[w0] + 1).tolist(), (at[w1] + size[w1]).tolist())], np.uint64)
+
+
+def fingerprints(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit SimHash of each text over its word shingles, repeats included; null or wordless: zero."""
+    out = np.zeros(len(texts), np.uint64)
+    for i, n_sh, h in shingle_hashes(texts, words, seed):
         bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
         has = np.flatnonzero(n_sh)
         ones = np.add.reduceat(bits, (np.cumsum(n_sh) - n_sh)[has], axis=0, dtype=np.int32)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from talkspan.llm import components, decontam, editcount, langid, licences, ordinal, packing, rules, shards, simhash, suffix, tokens
+from talkspan.llm import components, decontam, editcount, jaccard, langid, licences, ordinal, packing, rules, shards, simhash, suffix, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, part int, key string, kept string"
 EDGE = ["", None, "a", " \n\t ", "A b", "word " * 3000, "é漢字 x" * 40, "<|endoftext|> twice <|endoftext|>", "x" * 400, "ab" * 300]
@@ -332,3 +332,36 @@ def test_pipeline(spark):
     assert 0.5 * 200 < n < 200
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_near_copies(spark, monkeypatch):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    r, docs = random.Random(12), []
+    for _ in range(12):
+        base = [f"w{r.randrange(500)}" for _ in range(r.randint(60, 160))]
+        for n in (0, 0, 1, 1, 2, 3, 4, 6):
+            t = list(base)
+            for _ in range(n):
+                t[r.randrange(len(t))] = f"x{r.randrange(10**6)}"
+            docs.append(" ".join(t))
+    docs += ["a b", "A  b", None, "", "c"]
+    r.shuffle(docs)
+    own, root = [shingles(t) for t in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both, every = len(own[i] & own[j]), len(own[i] | own[j])
+            if 5 * both >= 4 * every and root[i] != root[j]:
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root = [a if x == b else x for x in root]
+    assert 12 < len(set(root)) < 60
+    import corpus_pipeline
+
+    for block in (1024, 3):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        kept = corpus_pipeline.simhash_dedup(spark, table(spark, docs), None)
+        assert kept.columns == table(spark, docs).columns
+        assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(root))
+    assert corpus_pipeline.simhash_dedup(spark, table(spark, docs).limit(0), None).count() == 0
