@@ -64,7 +64,8 @@ class Index:
         for k, w in enumerate(self.words):
             tf = Counter(w)
             impact = {t: math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in tf.items()}
-            lost = int((1 - OVERLAP) * max(1, len(w) - SHINGLE + 1))
+            n = len(shingles(w))
+            lost = n - next(k for k in range(n + 1) if k / n >= OVERLAP)  # counted as verify() decides, not by a rounded product
             total = sum(sorted(impact.values(), reverse=True)[lost:]) or 1.0
             for t, x in impact.items():
                 lists.setdefault(t, []).append((k, x / total))

@@ -231,6 +231,19 @@ def test_leaks(spark):
     assert left.count() == len(docs) - 2
 
 
+def test_leaks_at_exactly_the_overlap():
+    for n in (5, 10, 20, 25, 50):
+        words = [f"w{k}" for k in range(n + 4)]
+        text = " ".join(words[: n // 2 + 2]) + ". " + " ".join(words[n // 2 + 2 :]) + "."
+        others = [(k, " ".join(f"w{j}" for j in range(9, 90, 2 + k % 5)) + ".") for k in range(1, 30)]
+        index = decontam.Index([(0, text), *others])
+        for cut in range(n // 5 + 1):  # the copy lacks n / 5 words, so n / 5 shingles, at its ends
+            copy = " ".join(words[cut : len(words) - n // 5 + cut])
+            found = {h[1] for h in index.search(pa.array([copy.replace("w", "W")]))}
+            good = index.verify(0, [w.encode() for w in copy.split()])
+            assert good[0] == 0.8 and (0 in found) == (min(good[1:]) >= 0.5)
+
+
 def test_language():
     r = random.Random(6)
     samples = {"aa": " ".join("".join(r.choice(["ka", "lo", "mi"]) for _ in range(3)) for _ in range(300)), "bb": " ".join("".join(r.choice(["tré", "su", "ny"]) for _ in range(3)) for _ in range(300))}
