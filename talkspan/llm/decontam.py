@@ -223,6 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents (all columns) without any verified match."""
-    hit = find_leaks(docs, items, threshold).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_id"]), "left_anti")
+    """The documents (all columns) without any verified match. A match is of the text, so the text decides, not the id."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = find_leaks(texts, items, threshold).select(F.col("doc_id").alias("_hit_hash")).distinct()
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["_hit_hash"], "left_anti")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, per_row, raw, word_spans
+from .common import chunks, materialize, mix, per_row, raw, row_key, word_spans
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -85,16 +85,23 @@ def word_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
+def row_keys(docs: DataFrame) -> dict:
+    """row_key() with lang and source in the hash: all that a verdict depends on."""
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source") if c in docs.columns]
+    return row_key() | {"_hash": F.xxhash64("text", *group)}
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and STATS of every document. Null text: zeros. Missing lang or source columns: null."""
+    """doc_id, lang, source, the keys of row_keys() and STATS of every document. Null text: zeros. Missing lang or source columns: null."""
     cols = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("text", "string"))]
 
     def run(batches):
         for b in batches:
-            s = word_statistics(b.column(3))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(s[c]) for c in STATS)], ["doc_id", "lang", "source", *STATS])
+            s = word_statistics(b.column(5))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(s[c]) for c in STATS)], ["doc_id", "lang", "source", "_key", "_hash", *STATS])
 
-    return docs.select(*cols).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
+    keys = [c.alias(k) for k, c in row_keys(docs).items()]
+    return docs.select(*cols[:3], *keys, cols[3]).mapInArrow(run, "doc_id long, lang string, source string, _key long, _hash long, " + ", ".join(f"{c} long" for c in STATS))
 
 
 def base_failed():
@@ -196,6 +203,11 @@ def judge(docs: DataFrame) -> DataFrame:
     groups of their own. Null doc_ids and repeated rows are judged like any other. With too few rows for any estimate
     no document is an outlier and distance is null. Empty table: empty result. Extra columns are not read.
     """
+    return verdicts(docs).drop("_key", "_hash")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """What judge() gives, with the keys of row_keys()."""
     rows = materialize(with_features(document_statistics(docs)).withColumns({"lang": F.coalesce("lang", F.lit("\x00")), "source": F.coalesce("source", F.lit("\x00")), "base_failed": base_failed(), "every": F.lit("*")}), "statistics")
     fit = rows.where(~F.col("base_failed"))
     levels = [["lang", "source"], ["lang"], ["every"]]
@@ -206,10 +218,10 @@ def judge(docs: DataFrame) -> DataFrame:
     out = out.withColumns({"mu": F.coalesce("mu0", "mu1", "mu2"), "inv": F.coalesce("inv0", "inv1", "inv2")})
     out = out.withColumn("distance", _distance_column())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return out.select("doc_id", *STATS, "base_failed", "distance", kept.alias("kept"))
+    return out.select("doc_id", "_key", "_hash", *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) that judge() keeps; a null doc_id matches only null ids."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents (all columns) that judge() keeps, each row by its own id, text, lang and source."""
+    kept = verdicts(docs).where("kept").select("_key", "_hash").distinct()
+    return docs.withColumns(row_keys(docs)).join(kept, ["_key", "_hash"], "left_semi").select(docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_key, materialize, power_of_two, raw, word_spans
+from .common import chunks, materialize, power_of_two, raw, row_key, word_spans
 from .components import connected_components
 
 RADIUS = 3
@@ -68,14 +68,15 @@ def fingerprints(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, key, fp): fp is the fingerprint as a signed long, key orders documents (null ids last)."""
+    """Rows (doc_id, key, hash, fp): fp is the fingerprint as a signed long, key orders documents (null ids last)."""
 
     def run(batches):
         for b in batches:
-            fp = fingerprints(b.column(2), words, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
+            fp = fingerprints(b.column(3), words, seed)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], ["doc_id", "key", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().cast("long").alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
+    key, text_hash = row_key().values()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text_hash.alias("hash"), "text").mapInArrow(run, "doc_id long, key long, hash long, fp long")
 
 
 class Flips:
@@ -196,6 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     component_id is null only where every member's is. Repeated rows share a component. Empty table: empty result.
     Only doc_id and text are read; other columns cannot clash.
     """
+    return _grouped(docs, words, seed).drop("key", "hash", "component")
+
+
+def _grouped(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """What near_duplicates() gives, with the key and text hash of each row and the root of its component."""
     table = materialize(fingerprint_table(docs, words, seed), "fps")
     nodes = materialize(table.groupBy("fp").agg(F.min("key").alias("key")), "nodes")
     links = materialize(link_fingerprints(nodes), "pairs")
@@ -203,23 +209,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "key", "root")
     least = linked.groupBy("root").agg(F.min("key").alias("component_key"))
-    comp = linked.join(least, "root").select("fp", "component_key").join(degree.withColumnRenamed("node", "fp"), "fp", "left")
-    every = nodes.join(comp, "fp", "left").select("fp", F.coalesce("component_key", "key").alias("component_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    comp = linked.join(least, "root").select("fp", "root", "component_key").join(degree.withColumnRenamed("node", "fp"), "fp", "left")
+    every = nodes.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("component_key", "key").alias("component_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return table.join(every, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component_key") < (1 << 62), F.col("component_key")).alias("component_id"),
         F.col("n_links").cast("long").alias("n_links"),
         (F.col("key") == F.col("component_key")).alias("is_first"),
+        "key",
+        "hash",
+        "component",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """The documents (all columns) that come first in their component; one of each group stays.
 
-    Rows that repeat a doc_id and its text are one document and stay once.
+    Rows that repeat a doc_id and its text are one document and stay once; rows that share only a doc_id, or have
+    none, are different documents.
     """
-    first = near_duplicates(docs, words, seed).where("is_first").select("doc_id", "fingerprint").distinct()
-    kept = first.select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    # rows of one id may both come first: the least text hash of them stays
+    first = _grouped(docs, words, seed).where("is_first").groupBy("component").agg(F.min(F.struct(F.col("key").alias("_key"), F.col("hash").alias("_hash"))).alias("first"))
+    kept = first.select("first.*").distinct()
+    return docs.withColumns(row_key()).join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(docs.columns)

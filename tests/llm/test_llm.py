@@ -378,3 +378,28 @@ def test_near_copies(spark, monkeypatch):
         assert kept.columns == table(spark, docs).columns
         assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(root))
     assert corpus_pipeline.simhash_dedup(spark, table(spark, docs).limit(0), None).count() == 0
+
+
+def test_stages_keep_apart_documents_without_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, bad = words(60), words(60), words(60), "too short"
+    leak = words(20).capitalize() + ". " + words(8) + "."
+    schema = "doc_id long, text string, lang string, source string"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s") for i, t in rows], schema)
+    rows = [(None, a), (None, a), (None, b), (None, bad), (None, leak), (5, c), (5, bad), (5, leak), (6, a)]
+    docs = make(rows)
+    seen = lambda df: sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str)
+    good = [x for x in rows if x[1] != bad]
+    left = rules.drop_low_quality(docs)
+    assert left.columns == docs.columns and seen(left) == sorted(good, key=str)
+    want = sorted([(6, a), (None, b), (None, bad), (None, leak), (5, c), (5, bad), (5, leak)], key=str)
+    one = lambda found: sorted(t for _, t in found)
+    for drop in (simhash.drop_near_duplicates, corpus_pipeline.jaccard.drop_near_copies):
+        left = drop(docs)
+        assert left.columns == docs.columns
+        assert one(seen(left)) == sorted([a, b, c, bad, leak]) and set(seen(left)) <= set(want)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert seen(decontam.drop_leaks(docs, bench)) == sorted([x for x in rows if x[1] != leak], key=str)
