@@ -403,3 +403,12 @@ def test_stages_keep_apart_documents_without_ids(spark):
         assert one(seen(left)) == sorted([a, b, c, bad, leak]) and set(seen(left)) <= set(want)
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
     assert seen(decontam.drop_leaks(docs, bench)) == sorted([x for x in rows if x[1] != leak], key=str)
+
+
+def test_licence_query_equals_scan(spark):
+    wraps = ["\n", "  ", "\t", "\n# ", " \n// ", " ", ", "]
+    notices = [s.replace(" ", w) for _, s in licences.SENTENCES for w in wraps] + [s.upper() for _, s in licences.SENTENCES]
+    texts = [f"Some prose.\n\n{n}\n\nMore prose." for n in notices] + EDGE
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan_licences(table(spark, texts)).collect()}
+    assert got == {i: licences.scan(t) for i, t in enumerate(texts)}
+    assert licences.scan("All rights\nreserved.")[1] == ["Proprietary"]
