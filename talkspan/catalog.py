@@ -471,11 +471,17 @@ def u01(spark, sf):
 
 
 @query("a41_uncertainty_top", f"WITH {SQL_PAIRS}, f AS (SELECT id, length(chosen) AS a, length(rejected) AS b, list_distinct(regexp_extract_all(lower(chosen),'\\S+')) AS x, list_distinct(regexp_extract_all(lower(rejected),'\\S+')) AS y FROM pr), g AS (SELECT id, round(((1-abs(a-b)/greatest(a,b)) + len(list_intersect(x,y))/len(list_distinct(list_concat(x,y))))/2, 6) AS u FROM f) SELECT id, u FROM g ORDER BY u DESC, id LIMIT 50")
-def a41(spark, sf):
+def a41(spark, sf, n=50):
     a, b = F.length("chosen"), F.length("rejected")
     j = T.jaccard(F.array_distinct(T.words(F.lower("chosen"))), F.array_distinct(T.words(F.lower("rejected"))))
     u = F.round(((1 - F.abs(a - b) / F.greatest(a, b)) + j) / 2, 6)
-    return preference_pairs(spark, sf).select("id", u.alias("u")).orderBy(F.col("u").desc(), "id").limit(50)
+    return preference_pairs(spark, sf).select("id", u.alias("u")).orderBy(F.col("u").desc(), "id").limit(n)
+
+
+#: The size of the reference; a41_uncertainty_top is its short form.
+@query("a41_uncertainty_top_500", SQL["a41_uncertainty_top"].removesuffix("LIMIT 50") + "LIMIT 500")
+def a41_whole(spark, sf):
+    return a41(spark, sf, 500)
 
 
 # ---- repeatable violation makers -------------------------------------------------------------------------------

@@ -345,12 +345,23 @@ def a47(spark, sf):
     + ", ".join(f"s{k} AS (SELECT id, '{m}' AS category FROM vi WHERE {w}" + "".join(f" AND id NOT IN (SELECT id FROM s{j})" for j in range(k)) + f" ORDER BY md5(id::VARCHAR||'|ann{k}'), id LIMIT {n})" for k, (m, w, n) in enumerate([*((m, f"(maxim='{m}' OR contains(violation_type,'{m}'))", 20) for m in MAXIMS), ("clean", "maxim='none'", 20), ("random", "true", 10)]))
     + " " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(6)),
 )
-def t11(spark, sf):
+def t11(spark, sf, n=20, n_random=10):
     v = violated(spark, sf).select("id", "maxim", "violation_type")
-    wants = [*((m, (F.col("maxim") == m) | F.col("violation_type").contains(m), 20) for m in MAXIMS), ("clean", F.col("maxim") == "none", 20), ("random", F.lit(True), 10)]
+    wants = [*((m, (F.col("maxim") == m) | F.col("violation_type").contains(m), n) for m in MAXIMS), ("clean", F.col("maxim") == "none", n), ("random", F.lit(True), n_random)]
     return S.quota_sample(v, wants, "id", "ann").select("id", "category")
 
 
+#: The size of the reference; t11_annotation_sample is its short form.
+@query(
+    "t11_annotation_sample_whole",
+    f"WITH {SQL_VIOLATED}, "
+    + ", ".join(f"s{k} AS (SELECT id, '{m}' AS category FROM vi WHERE {w}" + "".join(f" AND id NOT IN (SELECT id FROM s{j})" for j in range(k)) + f" ORDER BY md5(id::VARCHAR||'|ann{k}'), id LIMIT {n})" for k, (m, w, n) in enumerate([*((m, f"(maxim='{m}' OR contains(violation_type,'{m}'))", 200) for m in MAXIMS), ("clean", "maxim='none'", 200), ("random", "true", 100)]))
+    + " " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(6)),
+)
+def t11_whole(spark, sf):
+    return t11(spark, sf, 200, 100)
+
+
 @query("t12_relation_sample", f"WITH {SQL_EXAMPLES}, i AS (SELECT {_ID} AS id, concat_ws(' ', '[REPAIR]', {_TOKENS}) AS t FROM ex) SELECT id FROM i WHERE contains(t,'[VIOLATION=RELATION]') ORDER BY md5(id::VARCHAR||'|rel'), id LIMIT 200")
 def t12(spark, sf):
     types = F.array_compact(F.array(*(F.when(_u(id_(), f"v_{m}") < 0.4, m) for m in MAXIMS)))
