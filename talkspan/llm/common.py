@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,15 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset and there are no
+    executors but the driver (tests); on a cluster without that setting there is no such folder, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             path = current.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="talkspan-")
             spark.sparkContext.setCheckpointDir(path)
@@ -50,8 +54,30 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that materialize() writes inside are deleted at the end, but for those made by keep()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and return a read of it."""
+    out = keep(df, label)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """materialize() for a table that outlives the scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talkspan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -74,6 +100,45 @@ def doc_key(doc_id: str = "doc_id", text: str = "text"):
     return F.coalesce(F.col(doc_id), tail + F.lit(1 << 62))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, keys: dict, kept: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of docs whose keys (name to expression) are in kept, which has them as columns; once: equal keys stay once."""
+    names = {k: fresh(docs, k) for k in keys}
+    own = docs.withColumns({names[k]: c for k, c in keys.items()})
+    out = own.join(kept.select(*(F.col(k).alias(n) for k, n in names.items())), list(names.values()), "left_semi")
+    return (out.dropDuplicates(list(names.values())) if once else out).drop(*names.values())
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column `name` that orders documents and tells different texts apart.
+
+    It is doc_key() where no two texts share one. Otherwise rows are numbered in the order of doc_key() and text hash,
+    equal rows alike: the ids and hashes are sorted by ranges and written, and a row's number is its place there.
+    """
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.select(doc_key().cast("long").alias("k"), h.alias("h"))
+    if ids.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+        return docs.withColumn(name, doc_key().cast("long"))
+    table = materialize(ids.distinct().sort("k", "h"), "order")
+    files = table.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min(F.struct("k", "h")).alias("k"), F.count("*").alias("n")).orderBy("k").collect()  # a row a file
+    base, n = [], 0
+    for r in files:
+        base.append((r["f"], n))
+        n += r["n"]
+    first = docs.sparkSession.createDataFrame(base, "f string, first long")
+    number = table.select("k", "h", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).join(first, "f")
+    k, t = fresh(docs, "_k"), fresh(docs, "_h")
+    number = number.select(F.col("k").alias(k), F.col("h").alias(t), (F.col("first") + F.col("i")).alias(name))
+    return docs.withColumns({k: doc_key().cast("long"), t: h}).join(number, [k, t]).drop(k, t)
+
+
 def row_key() -> dict:
     """What tells documents apart, null and repeated ids included: the order key, and a hash of the text."""
     return {"_key": doc_key().cast("long"), "_hash": F.xxhash64("text")}

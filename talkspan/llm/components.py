@@ -22,7 +22,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """Rows (node, root) for every node with a link; root is the smallest node reachable.
 
     links: pairs of longs, in any direction, repeats allowed; null ends and loops are ignored. Isolated nodes do not
-    appear. An empty table gives an empty table.
+    appear. An empty table gives an empty table. Rounds grow with the logarithm of the longest path; more than max_rounds
+    of them is an error, never an unfinished result.
     """
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = materialize(pairs.distinct(), "links")
@@ -48,5 +49,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
