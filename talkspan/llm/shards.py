@@ -2,8 +2,9 @@
 
 Every document becomes sequences of `length` ids (16-bit, little-endian; the last is filled up with the end id). The
 sequences are written once, numbered by file and row of that table, and a Feistel permutation with cycle-walking maps
-number to slot. Slot ranges are the partitions: each is one shard whose records have a fixed stride, so a reader finds
-slot s at shard s // per_shard, byte (s % per_shard) * stride, and resumes anywhere.
+number to slot. Slot ranges are the partitions: each is one shard whose records have a fixed stride (the ids and a line
+feed, as write_shards() writes them), so a reader finds slot s at shard s // per_shard, byte (s % per_shard) * stride,
+and resumes anywhere.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ PER_SHARD = 16_384
 ROUNDS = 6
 
 
+def stride(length: int = LENGTH) -> int:
+    """Bytes of a record in a shard's file."""
+    return 2 * length + 1
+
+
 def _round(x: np.ndarray, key: int) -> np.ndarray:
     x = x + np.uint64(key)
     x ^= x >> np.uint64(33)
@@ -58,7 +64,10 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         for b in batches:
             doc, seq, size, body = [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.array(text).astype("<u2")
+                ids = enc.array(text)
+                if len(ids) and int(ids.max()) > 0xFFFF:
+                    raise ValueError("an id of this vocabulary does not fit 16 bits")
+                ids = ids.astype("<u2")
                 for k in range(0, len(ids), length):
                     part = ids[k : k + length]
                     doc.append(d)
@@ -76,7 +85,8 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
     Slots are 0 .. n-1, each once; partition k holds shard k, ordered. Numbers before the permutation follow the files
     and rows of the sequence table, which is written once, so a recomputed task makes the same records. Null text is a
     sequence of the end id; null doc_ids pass through; repeated rows give repeated sequences. Empty table: empty
-    result. Only doc_id and text are read.
+    result. Only doc_id and text are read. byte_offset is the record's place in the shard's file of write_shards(). An
+    id over 65,535 is an error. The sequence table is written while this is called.
     """
     table = materialize(sequences(docs, length, vocabulary, ranks), "sequences")
     files = [(r["f"], r["n"]) for r in table.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).orderBy("f").collect()]  # a row a file
@@ -101,7 +111,7 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
         for b in batches:
             slot = b.column(1).to_numpy()
             ids = [(press.decompress(x) + end)[: 2 * length] for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slot % per_shard * (2 * length)), b.column(2), b.column(3), b.column(4), pa.array(ids, pa.binary())], ["shard", "slot", "byte_offset", "doc_id", "sequence", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slot % per_shard * stride(length)), b.column(2), b.column(3), b.column(4), pa.array(ids, pa.binary())], ["shard", "slot", "byte_offset", "doc_id", "sequence", "n_tokens", "ids"])
 
     return dealt.mapInArrow(unpack, "shard int, slot long, byte_offset long, doc_id long, sequence int, n_tokens int, ids binary")
 
@@ -117,6 +127,5 @@ def write_shards(order: DataFrame, path: str) -> None:
 def read_shard(spark: SparkSession, path: str, shard: int, length: int = LENGTH, first: int = 0) -> np.ndarray:
     """Records first.. of one shard as an array (n, length); the driver reads one shard, whose size is fixed."""
     files = spark.read.format("binaryFile").load(f"{path}/shard={shard}").orderBy("path").select("content").collect()
-    stride = 2 * length + 1
-    body = np.frombuffer(b"".join(bytes(r["content"]) for r in files)[first * stride :], np.uint8)
-    return np.ascontiguousarray(body.reshape(-1, stride)[:, :-1]).view("<u2")
+    body = np.frombuffer(b"".join(bytes(r["content"]) for r in files)[first * stride(length) :], np.uint8)
+    return np.ascontiguousarray(body.reshape(-1, stride(length))[:, :-1]).view("<u2")
