@@ -4,7 +4,8 @@ A byte goes if some string of `length` bytes that covers it also starts earlier
 the same document); strings never cross documents. Every window of `length` bytes has an anchor, the least hashed
 gram inside it, so equal windows have equal anchors. Consecutive windows with one anchor form a fragment. Steps:
 
-1. each task finds the fragments of its texts and collapses byte-identical ones (pre-aggregation);
+1. each task finds the fragments of its texts and collapses identical ones, by 128-bit codes of their bytes (the
+   pre-aggregation);
 2. fragments meet by anchor; identical ones keep their first place, and anchors with several different fragments
    ask for the bytes of one of each;
 3. the asked fragments are indexed: the BWT of their concatenation, then breadth-first backward extension, which
@@ -12,8 +13,10 @@ gram inside it, so equal windows have equal anchors. Consecutive windows with on
    then shares at least `length` bytes. In each such interval all but the first start are repeats;
 4. ranges meet the texts by document.
 
-An anchor with more than HOT_FRAGMENTS different fragments (the rim of a passage that very many documents share) is
-dealt out window by window instead, by a 128-bit hash with map-side collapse, so no task gets an unbounded group.
+Groups never grow without bound: a part of the anchors over HOT_PART_BYTES (known from the sizes of what step 1 wrote)
+is dealt out again by fragment code, so its equal fragments still meet; as one anchor's fragments are then apart, they
+are matched window by window, by 128-bit codes of all windows, dealt out by those, with collapse inside each text part.
+The same is done for an anchor with more than HOT_FRAGMENTS different fragments in an ordinary part.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialize, merge_ranges, mix, power_of_two, raw, text_bytes
+from .common import discard, fresh, keyed, materialize, merge_ranges, mix, power_of_two, raw, text_bytes
 
 BLOCK = 1 << 20
 PART_BYTES = 4 << 20
 BUCKET_BYTES = 1 << 19
 HOT_FRAGMENTS = 2000
-FRAGMENT = np.dtype([("sh", "<u8"), ("key", "<u4"), ("doc", "<i8"), ("off", "<u4"), ("m", "<u2")])
+HOT_PART_BYTES = 32 << 20
+FRAGMENT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("key", "<u4"), ("doc", "<i8"), ("off", "<u4"), ("m", "<u2")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 ASK = np.dtype([("doc", "<i8"), ("off", "<u4"), ("m", "<u2"), ("key", "<u4"), ("hot", "<u1")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("off", "<u4")])
@@ -97,17 +101,24 @@ def fragments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarr
     return np.concatenate(rows), np.concatenate(starts), np.concatenate(counts), np.concatenate(keys)
 
 
-def firsts(code: np.ndarray, doc: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def firsts(codes: tuple[np.ndarray, ...], doc: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(indices of the first of each code, indices of all that come strictly later than their first)."""
-    order = np.lexsort((off, doc, code))
-    c, d, o = code[order], doc[order], off[order]
-    new = np.ones(len(c), bool)
-    new[1:] = c[1:] != c[:-1]
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(c) else np.zeros(0, np.int64)
+    order = np.lexsort((off, doc, *codes))
+    d, o = doc[order], off[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in codes])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
     later = (d != d[lead]) | (o != o[lead])
     return order[new], order[later]
 
 
+def digests(view: memoryview, starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit codes of stretches of bytes, as two arrays."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(view[s:e]) for s, e in zip(starts, ends)]), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _blobs(part: np.ndarray, rec: np.ndarray) -> tuple[list[int], list[bytes]]:
     order = np.argsort(part, kind="stable")
     part, rec = part[order], rec[order]
@@ -137,8 +148,8 @@ def _ranges(doc, start, end, parts: int) -> tuple[list[int], list[bytes]]:
     return _blobs(_doc_part(rec["doc"], parts), rec)
 
 
-def _code(rec: np.ndarray) -> np.ndarray:
-    return rec["sh"] ^ (rec["key"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _codes(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rec["h1"], rec["h2"]
 
 
 # ---- Burrows-Wheeler index -------------------------------------------------------------------------------------
@@ -231,7 +242,7 @@ def repeated_starts(texts: list[bytes] | tuple[np.ndarray, np.ndarray], length:
     at, group = order[many], group[many]
     t = np.searchsorted(begin, at, "right") - 1
     rel = at - begin[t]
-    _, later = firsts(group, place["doc"][t], place["off"][t] + rel)
+    _, later = firsts((group,), place["doc"][t], place["off"][t] + rel)
     return t[later], rel[later]
 
 
@@ -249,15 +260,13 @@ def _find(parts: int, doc_parts: int, length: int):
                 part = data[offs[i] : offs[j]]
                 row, start, count, key = fragments(part, offs[i : j + 1] - offs[i], length)
                 if len(row):
-                    view = memoryview(part.tobytes())
-                    digest = xxhash.xxh3_64_intdigest
                     rec = np.empty(len(row), FRAGMENT)
-                    rec["sh"] = np.array([digest(view[s:e]) for s, e in zip(start.tolist(), (start + count + length - 1).tolist())], np.uint64)
+                    rec["h1"], rec["h2"] = digests(memoryview(part.tobytes()), start.tolist(), (start + count + length - 1).tolist())
                     rec["key"] = (key >> np.uint64(32)).astype(np.uint32)
                     rec["doc"] = doc[i + row]
                     rec["off"] = start - (offs[i : j + 1] - offs[i])[row]
                     rec["m"] = count
-                    keep, later = firsts(_code(rec), rec["doc"], rec["off"])
+                    keep, later = firsts(_codes(rec), rec["doc"], rec["off"])
                     keep.sort()
                     where = ((key[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
                     yield _batch(0, *_blobs(where, rec[keep]))
@@ -283,30 +292,50 @@ def _records(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(data.tobytes(), dtype)
 
 
-def _resolve(doc_parts: int, length: int):
+def _asks(rep: np.ndarray, hot, doc_parts: int, part: int) -> tuple[int, list[int], list[bytes]]:
+    ask = np.empty(len(rep), ASK)
+    for f in ("doc", "off", "m", "key"):
+        ask[f] = rep[f]
+    ask["key"] ^= np.uint32(part * 2654435761 % (1 << 32))
+    ask["hot"] = hot
+    return (2, *_blobs(_doc_part(ask["doc"], doc_parts), ask))
+
+
+def _resolve(doc_parts: int, length: int, hot: bool):
+    """Collapse of the fragments of a part, or of a share of a hot one, all of whose fragments are asked for."""
+
     def run(key, table):
         rec = _records(table, 0, FRAGMENT)
-        keep, later = firsts(_code(rec), rec["doc"], rec["off"])
+        keep, later = firsts(_codes(rec), rec["doc"], rec["off"])
         x = rec[later]
         rows = [(1, *_ranges(x["doc"], x["off"].astype(np.int64), x["off"].astype(np.int64) + x["m"] + length - 1, doc_parts))]
         rep = rec[keep]
-        if len(rep):
+        if hot and len(rep):
+            rows.append(_asks(rep, 1, doc_parts, int(key[0].as_py())))
+        elif len(rep):
             rep = rep[np.argsort(rep["key"], kind="stable")]
             new = np.concatenate([[True], rep["key"][1:] != rep["key"][:-1]])
             size = np.diff(np.append(np.flatnonzero(new), len(rep)))
             size = np.repeat(size, size)
-            rep, size = rep[size > 1], size[size > 1]
-            ask = np.empty(len(rep), ASK)
-            for f in ("doc", "off", "m", "key"):
-                ask[f] = rep[f]
-            ask["key"] ^= np.uint32(int(key[0].as_py()) * 2654435761 % (1 << 32))
-            ask["hot"] = size > HOT_FRAGMENTS
-            rows.append((2, *_blobs(_doc_part(ask["doc"], doc_parts), ask)))
+            rows.append(_asks(rep[size > 1], size[size > 1] > HOT_FRAGMENTS, doc_parts, int(key[0].as_py())))
         return _out(rows)
 
     return run
 
 
+def _spread(batches):
+    """Blobs of hot parts, cut into shares by fragment code; shares: how many of the part."""
+    for b in batches:
+        part, share, blobs = [], [], []
+        for p, n, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
+            rec = np.frombuffer(blob, FRAGMENT)
+            own, out = _blobs((rec["h2"] % np.uint64(n)).astype(np.int64), rec)
+            part += [p] * len(own)
+            share += own
+            blobs += out
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([0] * len(part), pa.int32()), pa.array(blobs, pa.binary()), pa.array(share, pa.int64())], ["part", "kind", "blob", "share"])
+
+
 def _fetch(buckets: int, length: int):
     def run(key, docs, asks):
         ask = _records(asks, 2, ASK)
@@ -330,15 +359,14 @@ def _fetch(buckets: int, length: int):
             rows.append((3, [int(bucket[g[0]])], [head + data[take].tobytes()]))
         if not cold.all():
             a, r = ask[~cold], row[~cold]
-            view, digest = memoryview(data.tobytes()), xxhash.xxh3_128_intdigest
             m = a["m"].astype(np.int64)
             t = np.repeat(np.arange(len(a)), m)
             off = a["off"].astype(np.int64)[t] + np.arange(len(t)) - np.repeat(np.cumsum(m) - m, m)
-            h = [digest(view[x : x + length]) for x in (offs[r][t] + off).tolist()]
+            at = offs[r][t] + off
             w = np.empty(len(t), WINDOW)
-            w["h1"], w["h2"] = [x >> 64 for x in h], [x & (1 << 64) - 1 for x in h]
+            w["h1"], w["h2"] = digests(memoryview(data.tobytes()), at.tolist(), (at + length).tolist())
             w["doc"], w["off"] = a["doc"][t], off
-            keep, later = firsts(w["h1"] ^ w["h2"], w["doc"], w["off"])
+            keep, later = firsts(_codes(w), w["doc"], w["off"])
             rows.append((4, *_blobs((w["h2"][keep] % np.uint64(buckets)).astype(np.int64), w[keep])))
             x = w[later]
             rec = np.empty(len(x), RANGE)
@@ -366,7 +394,7 @@ def _index(doc_parts: int, length: int):
             docs.append(place["doc"][t])
             starts.append(place["off"][t] + rel)
         w = _records(table, 4, WINDOW)
-        _, later = firsts(w["h1"] ^ w["h2"], w["doc"], w["off"])
+        _, later = firsts(_codes(w), w["doc"], w["off"])
         docs.append(w["doc"][later])
         starts.append(w["off"][later].astype(np.int64))
         x = _records(table, 1, RANGE)
@@ -377,29 +405,38 @@ def _index(doc_parts: int, length: int):
     return run
 
 
-def repeat_ranges(docs: DataFrame, length: int, doc_parts: int, total: int) -> DataFrame:
-    """Rows (part, blob): packed RANGE records of the bytes to remove; part is the document's part."""
-    keyed = docs.select(doc_key().cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+def repeat_ranges(texts: DataFrame, length: int, doc_parts: int, total: int) -> DataFrame:
+    """Rows (part, blob): packed RANGE records of the bytes to remove; part is the document's part. texts: key, text."""
     parts = power_of_two(max(128, total / PART_BYTES))
     packed = "part long, kind int, blob binary"
-    found = keyed.mapInArrow(_find(parts, doc_parts, length), packed)
     # kind 0: fragments by anchor; kind 1: ranges by document, found inside one task
-    resolved = materialize(found.groupBy("part", "kind").applyInArrow(_side(_resolve(doc_parts, length), doc_parts), packed), "resolved")
+    found = materialize(texts.mapInArrow(_find(parts, doc_parts, length), packed), "found")
+    sizes = found.where("kind = 0").groupBy("part").agg(F.sum(F.octet_length("blob")).alias("n")).where(F.col("n") > HOT_PART_BYTES)
+    hot = materialize(sizes.select("part", F.ceil(F.col("n") * 4 / HOT_PART_BYTES).cast("long").alias("shares")), "hot")  # under a row for HOT_PART_BYTES
+    resolve = _side(_resolve(doc_parts, length, False), doc_parts)
+    if hot.isEmpty():
+        resolved = found.groupBy("part", "kind").applyInArrow(resolve, packed)
+    else:
+        cold = found.where("kind = 1").unionByName(found.where("kind = 0").join(hot, "part", "left_anti"))
+        shares = found.where("kind = 0").join(hot, "part").select("part", "shares", "blob").mapInArrow(_spread, packed + ", share long")
+        resolved = cold.groupBy("part", "kind").applyInArrow(resolve, packed).unionByName(shares.groupBy("part", "share").applyInArrow(_side(_resolve(doc_parts, length, True), doc_parts, False), packed))
+    resolved = materialize(resolved, "resolved")
+    discard(found)
     asked = resolved.where("kind = 2")
     n = asked.agg(F.sum(F.octet_length("blob")).alias("n")).first()["n"] or 0
     ranges = resolved.where("kind = 1").select("part", "blob")
     if n:
         buckets = power_of_two(max(128, n / ASK.itemsize * 150 / BUCKET_BYTES))
-        texts = keyed.select("key", "text", doc_part("key", doc_parts).alias("part"))
-        fetched = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_fetch(buckets, length), packed)
+        by_part = texts.select("key", "text", doc_part("key", doc_parts).alias("part"))
+        fetched = by_part.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_fetch(buckets, length), packed)
         more = materialize(fetched.groupBy("part").applyInArrow(_index(doc_parts, length), packed), "indexed")
         ranges = ranges.unionByName(more.select("part", "blob"))
     return ranges
 
 
-def _side(resolve, doc_parts: int):
+def _side(resolve, doc_parts: int, mixed: bool = True):
     def run(key, table):
-        if key[1].as_py():
+        if mixed and key[1].as_py():
             x = _records(table, 1, RANGE)
             return _out([(1, *_ranges(x["doc"], x["start"].astype(np.int64), x["end"].astype(np.int64), doc_parts))])
         return resolve(key, table)
@@ -407,11 +444,11 @@ def _side(resolve, doc_parts: int):
     return run
 
 
-def _cut(length: int, as_text: bool, names: list[str]):
+def _cut(length: int, as_text: bool, names: list[str], key_name: str):
     def run(key, docs, ranges):
         rec = _records(ranges, 1, RANGE)
         data, offs = raw(docs.column("text"))
-        doc = docs.column("_tsp_key").to_numpy()
+        doc = docs.column(key_name).to_numpy()
         d, s, e = merge_ranges(rec["doc"], rec["start"].astype(np.int64), rec["end"].astype(np.int64))
         lo, hi = np.searchsorted(d, doc, "left"), np.searchsorted(d, doc, "right")
         spans, kept = [], []
@@ -449,11 +486,12 @@ def _cut(length: int, as_text: bool, names: list[str]):
 def _apply(docs: DataFrame, length: int, as_text: bool, out: str, names: list[str]) -> DataFrame:
     total = text_bytes(docs)
     doc_parts = power_of_two(max(64, total / PART_BYTES)) + 1
-    ranges = repeat_ranges(docs, length, doc_parts, total)
-    texts = docs.withColumn("_tsp_key", doc_key().cast("long"))
-    texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_tsp_part", doc_part("_tsp_key", doc_parts))
-    ranges = ranges.select(F.col("part").alias("_tsp_part"), F.lit(1).alias("kind"), "blob")
-    return texts.groupBy("_tsp_part").cogroup(ranges.groupBy("_tsp_part")).applyInArrow(_cut(length, as_text, names), out)
+    key, part = fresh(docs, "key"), fresh(docs, "part")
+    texts = keyed(docs, key).withColumn("text", F.coalesce("text", F.lit("")))
+    ranges = repeat_ranges(texts.select(F.col(key).alias("key"), "text"), length, doc_parts, total)
+    texts = texts.withColumn(part, doc_part(key, doc_parts))
+    ranges = ranges.select(F.col("part").alias(part), F.lit(1).alias("kind"), "blob")
+    return texts.groupBy(part).cogroup(ranges.groupBy(part)).applyInArrow(_cut(length, as_text, names, key), out)
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -461,8 +499,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Null text counts as empty: no spans, empty kept. Texts under `length` bytes keep all. Of equal documents the first
     by doc_id stays whole and the others lose everything (if long enough). Rows with a null doc_id follow all others.
-    Rows that repeat a doc_id and text start at the same place, so neither is earlier: all get the same result; a
-    doc_id must not name different texts. Empty table: empty result. Other columns are not read.
+    Different texts of one doc_id are different documents, in the order of their hash. Rows that repeat a doc_id and
+    text start at the same place, so neither is earlier: all get the same result. Empty table: empty result. Other
+    columns are not read. Fragments and ranges are written while this is called.
     """
     return _apply(docs.select("doc_id", "text"), length, False, "doc_id long, spans array<struct<start:long,end:long>>, kept binary", [])
 
