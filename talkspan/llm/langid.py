@@ -1,12 +1,17 @@
 """Language identification by cross-parsing entropy.
 
 Per language, a suffix automaton of labelled text gives the longest prefix of what is left of a text that occurs in
-the language's text. Parsing greedily by longest matches, the language that needs the fewest phrases for the text's
-length wins. A byte that the language's text lacks ends a phrase and belongs to the next. Many stretches of text walk one automaton together, as arrays.
+the language's text. A text is parsed greedily by longest matches from its first byte to its last; the number of phrases
+times the logarithm of the size of the language's text estimates the bits of the text under the language, and the
+language with the fewest wins. A byte that the language's text lacks ends a phrase and belongs to the next.
 
-The automata are built from at most DOCS_PER_LANGUAGE labelled documents a language (by hash of doc_id) and
-CHARS_PER_DOCUMENT code points of each: a bounded training sample. Texts to be judged are read whole; they are parsed
-in stretches of STRETCH bytes, at whose borders a phrase ends.
+Many stretches of text walk one automaton together, as arrays. A stretch is first walked from the automaton's start;
+then the true state is carried over each border and walked on until it meets the state of the first walk, from where
+both agree, so the phrases are those of the whole text in one go.
+
+The automata are built from a bounded training sample: of each language the first SAMPLE_ROWS labelled documents by hash
+of doc_id, those of at most DOCUMENT_BYTES bytes before longer ones, whole, as long as they come to at most
+LANGUAGE_BYTES. More than MAX_LANGUAGES languages are an error. All texts are judged whole.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks, raw
 
-DOCS_PER_LANGUAGE = 48
-CHARS_PER_DOCUMENT = 1000
+SAMPLE_ROWS = 64
+DOCUMENT_BYTES = 8_192
+LANGUAGE_BYTES = 65_536
 MAX_LANGUAGES = 256
+#: Bytes that one lane of the joint walk takes; the result does not depend on it.
 STRETCH = 256
 
 #: Letters and all bytes from 0x80 on stay, everything else is a space.
@@ -64,20 +71,57 @@ class Automaton:
         table[rows, [c for g in go for c in g]] = [s for g in go for s in g.values()]
         start = np.maximum(table[0], 0)  # a byte that never occurs ends a phrase
         fail = table < 0
-        self.size = size
-        self.table = (np.where(fail, start[None, :], table) * size * 2 + fail).astype(np.int64).ravel()
-
-    def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each stretch. symbols: (steps, stretches), longest stretch first; lengths descend."""
-        state = np.zeros(symbols.shape[1], np.int64)
-        count = np.zeros(symbols.shape[1], np.int64)
-        live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(symbols.shape[0]), "right")
-        for k in range(symbols.shape[0]):
+        if len(go) * size >= 1 << 30:
+            raise ValueError("the training sample of one language is too large for 32-bit states")
+        self.table = ((np.where(fail, start[None, :], table) * size) * 2 + fail).astype(np.int32).ravel()
+
+    def phrases(self, symbols: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that end in each stretch, of texts parsed whole.
+
+        symbols: (steps, stretches), longest stretch first; lengths descend; after: the text's next stretch, or -1.
+        """
+        steps, lanes = symbols.shape
+        state = np.zeros(lanes, np.int32)
+        states, ended = np.zeros((steps, lanes), np.int32), np.zeros((steps + 1, lanes), np.int16)
+        live = lanes - np.searchsorted(lengths[::-1], np.arange(steps), "right")
+        for k in range(steps):
             n = live[k]
             v = self.table[state[:n] + symbols[k, :n]]
-            count[:n] += v & 1
             state[:n] = v >> 1
-        return count + (lengths > 0)
+            states[k, :n] = state[:n]
+            ended[k + 1, :n] = ended[k, :n] + (v & 1)
+        count = ended[lengths, np.arange(lanes)].astype(np.int64)
+        first = count.copy()
+        lane = np.flatnonzero(after >= 0)
+        while len(lane):  # stretches whose predecessor ends in a state that they have not been walked from yet
+            own, s, c = after[lane], state[lane].copy(), np.zeros(len(lane), np.int64)
+            again = np.zeros(len(lane), bool)
+            open_ = np.arange(len(lane))
+            for k in range(steps):
+                over = lengths[own[open_]] <= k
+                if over.any():  # walked to the end without meeting the first walk
+                    done = open_[over]
+                    again[done] = state[own[done]] != s[done]
+                    state[own[done]], count[own[done]] = s[done], c[done]
+                    open_ = open_[~over]
+                if not len(open_):
+                    break
+                v = self.table[s[open_] + symbols[k, own[open_]]]
+                s[open_], c[open_] = v >> 1, c[open_] + (v & 1)
+                met = s[open_] == states[k, own[open_]]
+                if met.any():
+                    done = open_[met]
+                    o = own[done]
+                    end = states[lengths[o] - 1, o]
+                    again[done] = state[o] != end
+                    state[o], count[o] = end, c[done] + first[o] - ended[k + 1, o]
+                    open_ = open_[~met]
+            if len(open_):
+                again[open_] = state[own[open_]] != s[open_]
+                state[own[open_]], count[own[open_]] = s[open_], c[open_]
+            lane = own[again]
+            lane = lane[after[lane] >= 0]
+        return count
 
 
 class Model:
@@ -90,6 +134,7 @@ class Model:
         self.alphabet = np.full(256, len(seen), np.int64)
         self.alphabet[seen] = np.arange(len(seen))
         self.automata = [Automaton(t.tobytes(), np.append(self.alphabet, len(seen))) for t in texts]
+        self.log_size = np.log2([max(2, len(t)) for t in texts])
         self.stretch = stretch
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,26 +148,31 @@ class Model:
             own = np.repeat(np.arange(j - i), n)
             begin = o[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * self.stretch
             length = np.minimum(self.stretch, o[own + 1] - begin)
-            order = np.argsort(-length, kind="stable")
-            begin, length = begin[order], length[order]
             if not len(begin):
                 continue
-            steps = np.arange(int(length[0]))
-            symbols = d[np.minimum(begin[None, :] + steps[:, None], len(d) - 1)]
+            order = np.argsort(-length, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            after = np.full(len(order), -1, np.int64)
+            pair = np.flatnonzero(own[1:] == own[:-1])
+            after[place[pair]] = place[pair + 1]
+            begin, length, own = begin[order], length[order], own[order]
+            symbols = d[np.minimum(begin[None, :] + np.arange(int(length[0]))[:, None], len(d) - 1)].astype(np.int32)
             for k, a in enumerate(self.automata):
-                out[i:j, k] = np.bincount(own[order], a.phrases(symbols, length), minlength=j - i).astype(np.int64)
+                out[i:j, k] = np.bincount(own, a.phrases(symbols, length, after), minlength=j - i).astype(np.int64) + (size > 0)
         return out, np.diff(offs)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is one minus the winner's share of the runner-up's phrases.
+        """Language and score of each text; the score is one minus the winner's share of the runner-up's bits.
 
         und and 0 where the text is null or has no letter; ties go to the first language by name.
         """
         texts = texts.fill_null("")
         letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
         count, _ = self.counts(texts)
-        best = count.argmin(axis=1)
-        two = np.sort(count, axis=1)[:, :2] if count.shape[1] > 1 else np.stack([count[:, 0], count[:, 0] * 2], axis=1)
+        bits = count * self.log_size[None, :]
+        best = bits.argmin(axis=1)
+        two = np.sort(bits, axis=1)[:, :2] if bits.shape[1] > 1 else np.stack([bits[:, 0], bits[:, 0] * 2], axis=1)
         score = np.where(letter, 1.0 - two[:, 0] / np.maximum(two[:, 1], 1), 0.0)
         return [self.languages[b] if x else "und" for b, x in zip(best, letter)], np.clip(score, 0.0, 1.0)
 
@@ -134,14 +184,22 @@ def fold_of(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_DOCUMENT) -> dict[str, str]:
-    """Text of each language from labelled documents outside fold 2: a bounded sample for the driver."""
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, document_bytes: int = DOCUMENT_BYTES, language_bytes: int = LANGUAGE_BYTES) -> dict[str, str]:
+    """Text of each language from labelled documents outside fold 2: a bounded sample of whole texts for the driver.
+
+    A language's first document is taken whatever its size, so no language goes without.
+    """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = own.select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).withColumn("_r", rank).where(F.col("_r") <= docs_per_language)
+    keyed = own.select("lang", "doc_id", "text", (F.octet_length("text") > document_bytes).alias("long"), F.xxhash64("doc_id").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id", F.xxhash64("text")))
+    few = keyed.withColumn("_r", rank).where(F.col("_r") <= rows)  # the limit goes below the shuffle
+    total = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_r"))
+    taken = few.withColumn("_total", total).where((F.col("_r") == 1) | (F.col("_total") <= language_bytes))
     out: dict[str, list[str]] = {}
-    for r in rows.orderBy("lang", "_r").limit(docs_per_language * MAX_LANGUAGES).collect():
+    for r in taken.select("lang", "_r", "text").orderBy("lang", "_r").limit(rows * MAX_LANGUAGES + 1).collect():
         out.setdefault(r["lang"], []).append(r["text"])
+    if len(out) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {k: "\n".join(v) for k, v in out.items()}
 
 
