@@ -1,4 +1,10 @@
-"""Licence scans by sentence rules: normalised sentences map to identifiers, identifier sequences to licences."""
+"""Licence scans by sentence rules: normalised sentences map to identifiers, identifier sequences to licences.
+
+A text is read as its words in lower case; marks, line breaks and comment signs between them do not matter, so wrapped
+and commented notices are found. Known sentences are runs of words in one trie; at each place the longest known
+sentence is taken. A rule holds where its identifiers follow each other directly in the document's sequence of known
+sentences (unknown words between are ignored); rules are tried by precedence and a sentence serves one rule only.
+"""
 
 from __future__ import annotations
 
@@ -9,126 +15,195 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Licence sentences (identifier, wording).
+# Licences by SPDX identifier (names in notices, reuse in training data allowed).
+NAMES = {
+    "MIT": (["MIT License", "MIT"], True),
+    "MIT-0": (["MIT No Attribution License", "MIT-0"], True),
+    "ISC": (["ISC License"], True),
+    "0BSD": (["Zero-Clause BSD License", "0BSD"], True),
+    "BSD-2-Clause": (["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"], True),
+    "BSD-3-Clause": (["BSD 3-Clause License", "New BSD License", "BSD-3-Clause"], True),
+    "Apache-2.0": (["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"], True),
+    "Zlib": (["zlib License"], True),
+    "BSL-1.0": (["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"], True),
+    "Unlicense": (["Unlicense"], True),
+    "WTFPL": (["Do What The Fuck You Want To Public License", "WTFPL"], True),
+    "PSF-2.0": (["Python Software Foundation License Version 2", "PSF-2.0"], True),
+    "OFL-1.1": (["SIL Open Font License, Version 1.1", "OFL-1.1"], True),
+    "Artistic-2.0": (["Artistic License 2.0", "Artistic-2.0"], True),
+    "GPL-2.0-only": (["GNU General Public License, version 2", "GNU General Public License version 2.0", "GNU GPL v2", "GPL-2.0-only"], False),
+    "GPL-2.0-or-later": (["GNU General Public License, version 2 or later", "GPL-2.0-or-later"], False),
+    "GPL-3.0-only": (["GNU General Public License, version 3", "GNU General Public License version 3.0", "GNU GPL v3", "GPL-3.0-only"], False),
+    "GPL-3.0-or-later": (["GNU General Public License, version 3 or later", "GPL-3.0-or-later"], False),
+    "LGPL-2.1-only": (["GNU Lesser General Public License, version 2.1", "LGPL-2.1-only"], False),
+    "LGPL-2.1-or-later": (["GNU Lesser General Public License, version 2.1 or later", "LGPL-2.1-or-later"], False),
+    "LGPL-3.0-only": (["GNU Lesser General Public License, version 3", "LGPL-3.0-only"], False),
+    "LGPL-3.0-or-later": (["GNU Lesser General Public License, version 3 or later", "LGPL-3.0-or-later"], False),
+    "AGPL-3.0-only": (["GNU Affero General Public License, version 3", "AGPL-3.0-only"], False),
+    "AGPL-3.0-or-later": (["GNU Affero General Public License, version 3 or later", "AGPL-3.0-or-later"], False),
+    "MPL-2.0": (["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL-2.0"], False),
+    "EPL-1.0": (["Eclipse Public License, Version 1.0", "Eclipse Public License v1.0", "EPL-1.0"], False),
+    "EPL-2.0": (["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0", "EPL-2.0"], False),
+    "EUPL-1.2": (["European Union Public Licence, Version 1.2", "EUPL-1.2"], False),
+    "CC0-1.0": (["Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal", "CC0 1.0"], True),
+}
+# The Creative Commons licences (parts of the code, part of the name, reuse allowed) and their versions.
+COMMONS = [("BY", "Attribution", True), ("BY-SA", "Attribution-ShareAlike", False), ("BY-ND", "Attribution-NoDerivatives", False), ("BY-NC", "Attribution-NonCommercial", False), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike", False), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives", False)]
+VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+for _code, _name, _ok in COMMONS:
+    for _v in VERSIONS:
+        NAMES[f"CC-{_code}-{_v}"] = ([f"CC {_code} {_v}", f"Creative Commons {_name} {_v}", f"Creative Commons {_name} {_v} {'International' if _v == '4.0' else 'Unported'}"], _ok)
+#: Notices that name a licence; each is a sentence for every name.
+NOTICES = ["Released under the {}", "Licensed under the {}", "Licensed under {}", "Released under {}", "is licensed under the {}", "is licensed under a {}", "is licensed under {}", "are licensed under the {}", "distributed under the {}", "available under the {}", "under the terms of the {}", "subject to the terms of the {}"]
+
+# Sentences of licence texts (identifier, wording).
 SENTENCES = [
-    ("mit-notice", "Released under the MIT License."),
-    ("mit-notice", "Licensed under the MIT License."),
-    ("mit-notice", "This project is licensed under the MIT License."),
     ("mit-title", "The MIT License (MIT)"),
     ("mit-title", "MIT License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit-subject", "subject to the following conditions"),
     ("mit-condition", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("as-is", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("mit-liable", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-title", "ISC License"),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("apache2-notice", "Licensed under the Apache License, Version 2.0."),
-    ("apache2-notice", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
-    ("apache2-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("apache2-compliance", "You may not use this file except in compliance with the License."),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("apache2-head", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    ("apache2-compliance", "you may not use this file except in compliance with the License."),
     ("apache2-obtain", "You may obtain a copy of the License at"),
     ("apache2-as-is", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache2-see", "See the License for the specific language governing permissions and limitations under the License."),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("gpl3-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl3-notice", "Licensed under the GNU General Public License, version 3."),
-    ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-free2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    ("gpl-details", "See the GNU General Public License for more details."),
+    ("gpl3-free", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl2-free", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl3-exact", "it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("gpl2-exact", "it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+    ("lgpl3-free", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl21-free", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl3-free", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-hope", "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("mpl2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-nc-4", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc-4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-4", "Licensed under CC BY 4.0."),
-    ("cc-by-4", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa-4", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa-4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("epl2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("boost-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("reserved", "All rights reserved."),
 ]
 
-# Rules in order of precedence (licence, identifiers that must follow each other in this order, reuse allowed).
+# Rules in order of precedence (licence, identifiers that follow each other); notices and tags come after them.
 RULES = [
-    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], True),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], True),
-    ("MIT", ["mit-grant", "mit-condition", "as-is"], True),
-    ("MIT", ["mit-grant", "mit-condition"], True),
-    ("MIT", ["mit-title", "mit-grant"], True),
-    ("ISC", ["isc-grant"], True),
-    ("Apache-2.0", ["apache2-notice", "apache2-obtain", "apache2-as-is"], True),
-    ("Apache-2.0", ["apache2-notice"], True),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"], False),
-    ("GPL-2.0-or-later", ["gpl-free2", "gpl-hope"], False),
-    ("GPL-3.0-or-later", ["gpl-free"], False),
-    ("GPL-2.0-or-later", ["gpl-free2"], False),
-    ("GPL-3.0-only", ["gpl3-notice"], False),
-    ("MPL-2.0", ["mpl2"], False),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"], False),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"], False),
-    ("CC-BY-4.0", ["cc-by-4"], True),
-    ("CC0-1.0", ["cc0"], True),
-    ("Unlicense", ["unlicense"], True),
-    ("MIT", ["mit-notice"], True),
-    ("Proprietary", ["reserved"], False),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-subject", "mit-condition", "as-is", "mit-liable"]),
+    ("MIT", ["mit-grant", "mit-subject", "mit-condition", "as-is", "mit-liable"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-subject", "mit-condition", "as-is"]),
+    ("MIT", ["mit-grant", "mit-subject", "mit-condition", "as-is"]),
+    ("MIT", ["mit-grant", "mit-subject", "mit-condition"]),
+    ("MIT-0", ["mit-grant", "as-is"]),
+    ("MIT", ["mit-title", "mit-grant"]),
+    ("ISC", ["isc-title", "isc-grant"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Apache-2.0", ["apache2-head", "apache2-compliance", "apache2-obtain", "apache2-as-is", "apache2-see"]),
+    ("Apache-2.0", ["apache2-head", "apache2-compliance", "apache2-obtain", "apache2-as-is"]),
+    ("Apache-2.0", ["apache2-head", "apache2-compliance", "apache2-obtain"]),
+    ("Apache-2.0", ["apache2-head", "apache2-compliance"]),
+    ("Apache-2.0", ["apache2-head"]),
+    ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("GPL-3.0-or-later", ["gpl3-free"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("GPL-3.0-only", ["gpl3-exact"]),
+    ("GPL-2.0-only", ["gpl2-exact"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("MPL-2.0", ["mpl2"]),
+    ("EPL-2.0", ["epl2"]),
+    ("CC0-1.0", ["cc0"]),
+    ("Unlicense", ["unlicense"]),
 ]
-
-#: Every known sentence holds one of these stems inside a word, however it is wrapped, so other texts need no splitting.
-STEMS = r"(?i)licen[sc]|permission|copyright|redistribut|warrant|reserved|mozilla|unencumbered"
-
-
-def normal(sentence: str) -> str:
-    return " ".join(re.findall(r"\w+", sentence.lower()))
-
-
-KNOWN = {normal(s): i for i, s in SENTENCES}
-PERMISSIVE = {name: ok for name, _, ok in RULES}
-if any(not any(re.search(STEMS, w) for w in s.split()) for s in KNOWN):
-    raise ValueError("a licence sentence without a stem")
-
-
-def sentences(text: str) -> list[str]:
-    """Candidates in order: lines, and the pieces between sentence ends, also across line breaks."""
-    out = []
-    for block in re.split(r"\n\s*\n", text):
-        whole = re.sub(r"[ \t]*\n[ \t]*(?:#|//|\*|--)?[ \t]*", "\n", block)
-        for piece in re.split(r"(?<=[.!?:;])\s+", whole):
-            own = normal(piece)
-            if own in KNOWN:
-                out.append(own)
-            elif "\n" in piece:
-                out += [normal(x) for x in piece.split("\n")]
+for _id, (_names, _) in NAMES.items():
+    SENTENCES += [(f"notice:{_id}", n.format(x)) for x in _names for n in NOTICES]
+    SENTENCES.append((f"notice:{_id}", f"SPDX-License-Identifier: {_id}"))
+    RULES.append((_id, [f"notice:{_id}"]))
+RULES.append(("Proprietary", ["reserved"]))
+PERMISSIVE = {n: ok for n, (_, ok) in NAMES.items()} | {"Proprietary": False}
+
+#: Every known sentence holds one of these stems inside a word, however it is wrapped, so texts without them need no walk.
+STEMS = r"(?i)licen[sc]|permi|copyright|redistribut|warrant|reserved|mozilla|unencumbered|subject|released|distributed|available|terms"
+WORD = re.compile(r"\w+")
+
+
+def normal(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+TRIE: dict = {}
+for _i, _s in SENTENCES:
+    _node = TRIE
+    for _w in normal(_s):
+        _node = _node.setdefault(_w, {})
+    if _node.setdefault("", _i) != _i and not _i.startswith("notice:"):
+        raise ValueError(f"one sentence with two identifiers: {_s}")
+    if not any(re.search(STEMS, w) for w in normal(_s)):
+        raise ValueError(f"a sentence without a stem: {_s}")
+
+
+def identifiers(words: list[str]) -> list[str]:
+    """Identifiers of the known sentences in order; at each place the longest, and none overlaps another."""
+    out, at, n = [], 0, len(words)
+    while at < n:
+        node, k, found, end = TRIE.get(words[at]), at + 1, None, at
+        while node is not None:
+            if "" in node:
+                found, end = node[""], k
+            if k == n:
+                break
+            node, k = node.get(words[k]), k + 1
+        if found is None:
+            at += 1
+        else:
+            out.append(found)
+            at = end
     return out
 
 
 def scan(text: str | None) -> tuple[list[str], list[str]]:
-    """(sentence identifiers in order, licences in order of their first sentence)."""
-    ids = [KNOWN[s] for s in sentences(text or "") if s in KNOWN]
-    free, found = [True] * len(ids), []
-    for name, need, _ in RULES:
-        at, places = 0, []
-        for k, x in enumerate(ids):
-            if free[k] and x == need[at]:
-                places.append(k)
-                at += 1
-                if at == len(need):
-                    found.append((places[0], name))
-                    for p in places:
-                        free[p] = False
-                    at, places = 0, []
-    out = []
-    for _, name in sorted(found):
-        if name not in out:
-            out.append(name)
-    return ids, out
+    """(sentence identifiers in order, licences in order of their first sentence); null and empty texts have none."""
+    ids = identifiers(normal(text or ""))
+    free, found, held = [True] * len(ids), [], set(ids)
+    for name, need in RULES:
+        if not held.issuperset(need):
+            continue
+        n, k = len(need), 0
+        while k + n <= len(ids):
+            if ids[k : k + n] == need and all(free[k : k + n]):
+                found.append((k, name))
+                free[k : k + n] = [False] * n
+                k += n
+            else:
+                k += 1
+    return ids, list(dict.fromkeys(name for _, name in sorted(found)))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids, licences (both arrays, in order), licence (the first or null),
     reuse_allowed (all licences permit it; null where none was found).
 
-    Null and empty texts hold none. A sentence serves one rule only, rules by precedence. Null doc_ids and repeated
-    rows pass through. Empty table: empty result. Extra columns are not read.
+    Null and empty texts hold none. A sentence serves one rule only, rules by precedence; two rules cannot start at one
+    sentence, so there are no ties. Null doc_ids and repeated rows pass through. Empty table: empty result. Extra
+    columns are not read.
     """
 
     def run(batches):
