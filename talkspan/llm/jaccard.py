@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets propose, the whole shingle sets decide.
-
-Texts with equal sets are one node. A node falls into BANDS buckets, each named by ROWS minima; a pair at similarity s
-shares none with a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8 and less above. Every pair of a bucket is compared on
-its whole sets, in integers, and only links that join something new are given out: fewer than a bucket has members.
-A bucket of more than BLOCK members is dealt out by pairs of blocks.
+"""Near copies by the Jaccard similarity of word shingles: fingerprints and MinHash propose, whole sets decide.
+
+Texts with equal sets are one node. Candidates come two ways. Fingerprints of the shingles within simhash.RADIUS bits
+collide in the balls of simhash.link_fingerprints(); each such link is a bucket of one node of either, and the nodes of one
+fingerprint are a bucket. As most
+pairs at similarity 0.8 lie further apart than any radius that balls can reach, a node also falls into BANDS buckets,
+each named by ROWS minima; a pair at similarity s shares none with a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8 and
+less above. Every pair of a bucket is compared on its whole sets, in integers, and only links that join something new
+are given out: fewer than a bucket has members. A bucket of more than BLOCK members is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, raw, row_key
+from .common import chunks, discard, keep_rows, materialize, raw, row_key
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import link_fingerprints, shingle_hashes
 
 WORDS = 5
 #: Least similarity, as a fraction of integers.
@@ -75,6 +78,12 @@ def links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed long; no shingles: zero."""
+    bits = np.unpackbits(own.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view(">i8")[0])
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -89,16 +98,17 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, seed: int = 42) -> Dat
 
     def sketch(batches):
         for b in batches:
-            node, own = [], []
+            node, own, fp = [], [], []
             texts = b.column(2)
             _, offs = raw(texts)
             for i, j in chunks(offs):
                 for x in shingle_sets(texts.slice(i, j - i), words, seed):
                     node.append(name(x))
                     own.append(bands(x))
+                    fp.append(fingerprint(x))
             flat = _signed([v for x in own for v in x])
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(node), pa.ListArray.from_arrays(at, flat)], ["_key", "_hash", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(node), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(at, flat)], ["_key", "_hash", "node", "fp", "bands"])
 
     def whole(batches):
         for b in batches:
@@ -115,10 +125,17 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, seed: int = 42) -> Dat
         found = links(node[order], [sets[k] for k in order])
         return pa.table({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate("ab")})
 
-    rows = docs.withColumns(row_key())
-    table = materialize(rows.select("_key", "_hash", "text").mapInArrow(sketch, "_key long, _hash long, node long, bands array<long>"), "sketches")
+    rows = docs.select(*(c.alias(k) for k, c in row_key().items()), "text")
+    table = materialize(rows.select("_key", "_hash", "text").mapInArrow(sketch, "_key long, _hash long, node long, fp long, bands array<long>"), "sketches")
     nodes = table.groupBy("node").agg(F.min(F.struct("_key", "_hash")).alias("first"))
     buckets = table.select("node", F.posexplode("bands").alias("band", "value")).groupBy("band", "value").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    # the nodes of one fingerprint, and one each of two that are linked, are buckets too
+    alike = materialize(table.groupBy("fp").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "alike")
+    balls = link_fingerprints(alike.select("fp"))
+    least = alike.select("fp", F.array_min("nodes").alias("node"))
+    left, right = least.select(F.col("fp").alias("a"), F.col("node").alias("x")), least.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+    near = balls.join(left, "a").join(right, "b").select(F.sort_array(F.array("x", "y")).alias("nodes"))
+    buckets = buckets.select("nodes").unionByName(alike.select("nodes")).unionByName(near)
     buckets = materialize(buckets.where(F.size("nodes") > 1).select("nodes").distinct(), "buckets")  # many bands have the same
     members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.posexplode("nodes").alias("at", "node"))
     wanted = members.select("node").distinct().join(nodes, "node").select("first.*")
@@ -131,4 +148,4 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, seed: int = 42) -> Dat
     roots = connected_components(pairs)
     group = F.coalesce("root", nodes["node"])
     kept = nodes.join(roots.withColumnRenamed("node", "_member"), F.col("node") == F.col("_member"), "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select("first.*")
-    return rows.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(docs.columns)
+    return keep_rows(docs, row_key(), kept, once=True)

@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, power_of_two, raw, row_key, word_spans
+from .common import chunks, keep_rows, materialize, power_of_two, raw, row_key, word_spans
 from .components import connected_components
 
 RADIUS = 3
+#: A fingerprint of more than one in HOT_PARTS rows is hot; there are fewer than HOT_PARTS of them.
+HOT_PARTS = 1000
 #: Variants that one part should hold, about; 16 bytes each while they are sorted.
 PART_VARIANTS = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -195,7 +197,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     linked. n_links counts the links found for the fingerprint. is_first marks one document a component, the one to
     keep. Null text or no words: fingerprint zero, linked like any other. Null doc_ids come after all others, so a
     component_id is null only where every member's is. Repeated rows share a component. Empty table: empty result.
-    Only doc_id and text are read; other columns cannot clash.
+    Only doc_id and text are read; other columns cannot clash. Fingerprints, links and components are written while this
+    is called.
     """
     return _grouped(docs, words, seed).drop("key", "hash", "component")
 
@@ -203,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 def _grouped(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """What near_duplicates() gives, with the key and text hash of each row and the root of its component."""
     table = materialize(fingerprint_table(docs, words, seed), "fps")
-    nodes = materialize(table.groupBy("fp").agg(F.min("key").alias("key")), "nodes")
+    nodes = materialize(table.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "nodes")
     links = materialize(link_fingerprints(nodes), "pairs")
     roots = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -211,7 +214,12 @@ def _grouped(docs: DataFrame, words: int, seed: int) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("key").alias("component_key"))
     comp = linked.join(least, "root").select("fp", "root", "component_key").join(degree.withColumnRenamed("node", "fp"), "fp", "left")
     every = nodes.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("component_key", "key").alias("component_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return table.join(every, "fp").select(
+    # rows of a hot fingerprint meet its component where they are: at most HOT_PARTS rows are sent to all tasks
+    total = nodes.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = nodes.where(F.col("rows") * HOT_PARTS > total).select("fp")
+    few = F.broadcast(materialize(every.join(hot, "fp", "left_semi"), "hot"))
+    joined = table.join(few, "fp").unionByName(table.join(F.broadcast(hot), "fp", "left_anti").join(every.join(F.broadcast(hot), "fp", "left_anti"), "fp"))
+    return joined.select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component_key") < (1 << 62), F.col("component_key")).alias("component_id"),
@@ -231,5 +239,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> Dat
     """
     # rows of one id may both come first: the least text hash of them stays
     first = _grouped(docs, words, seed).where("is_first").groupBy("component").agg(F.min(F.struct(F.col("key").alias("_key"), F.col("hash").alias("_hash"))).alias("first"))
-    kept = first.select("first.*").distinct()
-    return docs.withColumns(row_key()).join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(docs.columns)
+    return keep_rows(docs, row_key(), first.select("first.*").distinct(), once=True)
