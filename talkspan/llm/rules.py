@@ -1,10 +1,13 @@
 """Quality rules: word statistics of whole texts, base rules, and robust multivariate outliers.
 
 Per language and source the minimum-covariance-determinant estimate gives a centre and scatter of transformed
-statistic vectors; documents at a large Mahalanobis distance go. Starts come from a bounded sample of each group
-(SAMPLE rows by hash, exact small-sample concentration); the final concentration steps and the estimate itself use all
-rows of the group, as mergeable sums. Groups under MIN_GROUP rows use their language's estimate, languages under it
-the one of all rows.
+statistic vectors; documents at a large Mahalanobis distance go. Groups under MIN_GROUP rows use their language's
+estimate, languages under it the one of all rows.
+
+Several starts of each group come from SAMPLE of its rows (by hash, concentrated exactly); each is then concentrated on
+all rows of the group until its determinant no longer falls, and the least determinant wins. A step is one pass: rows
+are summed by bins of their distance, and the sums of the bins up to the one that holds the h-th distance, which is
+taken whole, make the next estimate. Bins are a 64th of a power of two wide, so a group has a few thousand at most.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, per_row, raw, row_key, word_spans
+from .common import chunks, keep_rows, materialize, mix, per_row, raw, row_key, word_spans
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -26,8 +29,10 @@ FLOOR = [0.3, 0.12, 0.5, 0.5, 0.08]
 CUTOFF = 42.0
 SHARE = 0.75
 SAMPLE = 400
+#: Starts of a group that go on to all rows.
+STARTS = 3
 MIN_GROUP = 100
-FULL_STEPS = 2
+MAX_STEPS = 100
 
 _LOOKUP = np.zeros(256, np.uint8)
 _LOOKUP[list(SYMBOLS.encode())] = 1
@@ -134,11 +139,14 @@ def distances(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", y @ np.linalg.inv(cov), y)
 
 
-def small_mcd(x: np.ndarray, share: float = SHARE, starts: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """MCD of a bounded sample: concentration from several elemental starts and the whole; least determinant wins."""
+def small_mcd(x: np.ndarray, share: float = SHARE, tries: int = 20, keep: int = STARTS, seed: int = 0) -> list[tuple]:
+    """(log determinant, centre, scatter) of the best different results of concentration on a bounded sample.
+
+    It goes from several elemental starts and from the whole; results of equal determinant (to 1e-6) count as one.
+    """
     h, p = max(1, int(share * len(x))), x.shape[1]
-    rng, best = np.random.default_rng(seed), None
-    for k in range(starts + 1):
+    rng, out = np.random.default_rng(seed), []
+    for k in range(tries + 1):
         mu, cov = scatter(x if not k or len(x) <= p + 1 else x[rng.choice(len(x), p + 1, replace=False)])
         for _ in range(20):
             near = np.argsort(distances(x, mu, cov), kind="stable")[:h]
@@ -148,9 +156,9 @@ def small_mcd(x: np.ndarray, share: float = SHARE, starts: int = 20, seed: int =
             if done:
                 break
         det = np.linalg.slogdet(cov)[1]
-        if best is None or det < best[0] - 1e-12:
-            best = det, mu, cov
-    return best[1], best[2]
+        if all(abs(det - d) > 1e-6 for d, _, _ in out):
+            out.append((det, mu, cov))
+    return sorted(out, key=lambda r: r[0])[:keep]
 
 
 def _distance_column(mu: str = "mu", inv: str = "inv"):
@@ -159,41 +167,73 @@ def _distance_column(mu: str = "mu", inv: str = "inv"):
     return sum((y[i] * y[j] * F.get(F.col(inv), i * p + j) for i in range(p) for j in range(p)), F.lit(0.0))
 
 
-def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mu, inv (arrays) of every group of at least MIN_GROUP rows."""
-    p = len(FEATURES)
-    shape = ", ".join(f"{k} string" for k in keys) + ", mu array<double>, inv array<double>"
-    rank = Window.partitionBy(*keys).orderBy("_order", "doc_id")
-    sample = rows.withColumn("_order", F.xxhash64("doc_id", *STATS)).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= SAMPLE)
+def distance_bin(d):
+    """A 64th of a power of two; all distances under 2**-20 are one bin."""
+    return F.floor(F.log2(F.greatest(d, F.lit(2.0**-20))) * 64).cast("int")
 
-    def start(pdf):
-        import pandas as pd
 
-        mu, cov = small_mcd(pdf.sort_values("_rank")[FEATURES].to_numpy(float))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), mu.tolist(), np.linalg.inv(cov).ravel().tolist()]], columns=[*keys, "mu", "inv"])
+_ESTIMATE = "grp string, start int, det double, mu array<double>, inv array<double>, open boolean"
+
+
+def _estimate_row(group: str, start: int, det: float, mu: np.ndarray, cov: np.ndarray) -> list:
+    return [group, start, float(det), mu.tolist(), np.linalg.inv(cov).ravel().tolist(), True]
+
 
-    big = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_GROUP).select(*keys)
-    current = materialize(sample.select(*keys, "_rank", *FEATURES).groupBy(*keys).applyInPandas(start, shape).join(big, keys), "start")
-    sums = [F.avg(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+def estimates(rows: DataFrame) -> DataFrame:
+    """grp, mu, inv of every group (column grp) of rows with FEATURES and a column _order that deals out the sample.
 
-    def close(pdf):
+    Each step writes the estimates (STARTS rows a group) and reads all rows once. A start is settled when a step no
+    longer lowers its determinant; more than MAX_STEPS steps are an error.
+    """
+    p = len(FEATURES)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("_order", *FEATURES))
+    sample = rows.select("grp", "_order", *FEATURES).withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE)
+
+    def begin(pdf):
         import pandas as pd
 
-        out = []
-        for r in pdf.to_dict("records"):
-            mu = np.array([r[f"s{i}"] for i in range(p)])
-            cov = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - np.outer(mu, mu) + np.diag(np.square(FLOOR))
-            out.append([*(r[k] for k in keys), mu.tolist(), np.linalg.inv(cov).ravel().tolist()])
-        return pd.DataFrame(out, columns=[*keys, "mu", "inv"])
+        x = pdf.sort_values("_rank")[FEATURES].to_numpy(float)
+        own = [_estimate_row(pdf["grp"].iloc[0], k, np.inf, mu, cov) for k, (_, mu, cov) in enumerate(small_mcd(x))]
+        return pd.DataFrame(own, columns=["grp", "start", "det", "mu", "inv", "open"])
+
+    def step(bins, now):
+        import pandas as pd
 
-    for _ in range(FULL_STEPS):
-        far = rows.join(current, keys).withColumn("_d", _distance_column())
-        # written, as its size lets Spark broadcast it: rows of a group are not dealt to one task to meet their edge
-        edge = materialize(far.groupBy(*keys).agg(F.percentile_approx("_d", F.lit(SHARE), F.lit(10000)).alias("_edge")), "edge")
-        near = far.join(edge, keys).where(F.col("_d") <= F.col("_edge"))
-        current = materialize(near.groupBy(*keys).agg(*sums).mapInPandas(lambda it: map(close, it), shape), "estimate")
-    return current
+        old = now.iloc[0]
+        bins = bins.sort_values("bin")
+        n = bins["n"].to_numpy()
+        h = max(1, int(SHARE * n.sum()))
+        upto = int(np.searchsorted(np.cumsum(n), h)) + 1
+        total = bins.iloc[:upto][["n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs)]].sum()
+        mu = np.array([total[f"s{i}"] for i in range(p)]) / total["n"]
+        cov = np.array([[total[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / total["n"] - np.outer(mu, mu) + np.diag(np.square(FLOOR))
+        det = np.linalg.slogdet(cov)[1]
+        row = _estimate_row(old["grp"], int(old["start"]), det, mu, cov)
+        if not det < old["det"] - 1e-9:
+            row = [*old[["grp", "start", "det", "mu", "inv"]], False]
+        return pd.DataFrame([row], columns=["grp", "start", "det", "mu", "inv", "open"])
+
+    sums = [F.count("*").alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i, j in pairs)]
+    slim = rows.select("grp", *FEATURES)
+    now = materialize(sample.groupBy("grp").applyInPandas(begin, _ESTIMATE), "start")
+    settled = []
+    for _ in range(MAX_STEPS):
+        if now.isEmpty():
+            break
+        # `now` was written, so its size lets Spark broadcast it: rows of a hot group are not dealt to one task
+        bins = slim.join(now.select("grp", "start", "mu", "inv"), "grp").withColumn("bin", distance_bin(_distance_column())).groupBy("grp", "start", "bin").agg(*sums)
+        again = now.select(*(F.col(c).alias(c) for c in now.columns))  # names of its own beside those in bins
+        after = materialize(bins.groupBy("grp", "start").cogroup(again.groupBy("grp", "start")).applyInPandas(step, _ESTIMATE), "estimate")
+        settled.append(after.where("not open"))
+        now = after.where("open")
+    else:
+        raise RuntimeError(f"estimates not settled after {MAX_STEPS} steps")
+    every = now
+    for part in settled:
+        every = every.unionByName(part)
+    best = every.groupBy("grp").agg(F.min_by(F.struct("mu", "inv"), F.struct("det", "start")).alias("e"))
+    return materialize(best.select("grp", "e.mu", "e.inv"), "estimates")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -206,17 +246,27 @@ def judge(docs: DataFrame) -> DataFrame:
     return verdicts(docs).drop("_key", "_hash")
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
-    """What judge() gives, with the keys of row_keys()."""
-    rows = materialize(with_features(document_statistics(docs)).withColumns({"lang": F.coalesce("lang", F.lit("\x00")), "source": F.coalesce("source", F.lit("\x00")), "base_failed": base_failed(), "every": F.lit("*")}), "statistics")
+def verdicts(docs: DataFrame, least: int | None = None) -> DataFrame:
+    """What judge() gives, with the keys of row_keys(). least: rows that a group must have for an estimate of its own.
+
+    The statistics and the estimates are written while this is called.
+    """
+    least = MIN_GROUP if least is None else least
+    own = with_features(document_statistics(docs)).withColumns({"lang": F.coalesce("lang", F.lit("\x00")), "source": F.coalesce("source", F.lit("\x00")), "base_failed": base_failed()})
+    rows = materialize(own, "statistics")
     fit = rows.where(~F.col("base_failed"))
-    levels = [["lang", "source"], ["lang"], ["every"]]
-    out = rows  # "every" is a stored column: a literal would fold away and turn the join on it into a nested loop
-    for k, keys in enumerate(levels):
-        est = estimates(fit, keys).select(*keys, F.col("mu").alias(f"mu{k}"), F.col("inv").alias(f"inv{k}"))
-        out = out.join(est, keys, "left")
-    out = out.withColumns({"mu": F.coalesce("mu0", "mu1", "mu2"), "inv": F.coalesce("inv0", "inv1", "inv2")})
-    out = out.withColumn("distance", _distance_column())
+    # one row a language and source: the smallest group around it that has enough rows
+    sizes = fit.groupBy("lang", "source").agg(F.count("*").alias("n0"))
+    by_lang, every = sizes.groupBy("lang").agg(F.sum("n0").alias("n1")), sizes.agg(F.sum("n0").alias("n2"))
+    name = F.when(F.col("n0") >= least, F.concat(F.lit("source:"), "lang", F.lit("\x01"), "source")).when(F.col("n1") >= least, F.concat(F.lit("language:"), "lang")).when(F.col("n2") >= least, F.lit("all"))
+    groups = materialize(sizes.join(by_lang, "lang").crossJoin(every).select("lang", "source", name.alias("grp")).where("grp is not null"), "groups")
+    # the rows of a group are those it is named after, whoever else uses it
+    wide = groups.select("grp").distinct()
+    levels = [F.concat(F.lit("source:"), "lang", F.lit("\x01"), "source"), F.concat(F.lit("language:"), "lang"), F.lit("all")]
+    order = F.xxhash64("doc_id", *STATS).alias("_order")
+    members = fit.select(F.explode(F.array(*levels)).alias("grp"), order, *FEATURES).join(wide, "grp", "left_semi")
+    found = estimates(materialize(members, "members"))
+    out = rows.join(groups, ["lang", "source"], "left").join(found, "grp", "left").withColumn("distance", _distance_column())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return out.select("doc_id", "_key", "_hash", *STATS, "base_failed", "distance", kept.alias("kept"))
 
@@ -224,4 +274,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The documents (all columns) that judge() keeps, each row by its own id, text, lang and source."""
     kept = verdicts(docs).where("kept").select("_key", "_hash").distinct()
-    return docs.withColumns(row_keys(docs)).join(kept, ["_key", "_hash"], "left_semi").select(docs.columns)
+    return keep_rows(docs, row_keys(docs), kept)
