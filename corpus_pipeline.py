@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talkspan.llm import decontam, jaccard, packing, rules, suffix
-from talkspan.llm.common import materialize
+from talkspan.llm.common import discard, keep, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8 stays, the one with the smallest doc_id."""
+    """One document of each group linked by five-word shingles at similarity 0.8 stays, the one with the smallest doc_id.
+
+    Candidates come from the fingerprint balls of op7 and, as most pairs at 0.8 lie beyond their radius, from MinHash.
+    """
     return jaccard.drop_near_copies(docs)
 
 
@@ -46,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is written and read again by the next."""
+    """Apply all stages to documents; each result is written and read again by the next, and deleted after that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch():  # what the stage writes for itself
+            docs = keep(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
