@@ -42,12 +42,16 @@ def name(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 42)
 
 
-def bands(own: np.ndarray, seed: int = 11) -> list[int]:
+_draw = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+
+
+def bands(own: np.ndarray) -> list[int]:
     """The bucket of each band; no shingles, no buckets."""
     if not len(own):
         return []
-    draw = np.random.default_rng(seed).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
-    least = np.array([(own * (a * np.uint64(2) + np.uint64(1)) + b).min() for a, b in draw.T], np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(own), 2048):
+        least = np.minimum(least, (own[i : i + 2048, None] * (_draw[0] * np.uint64(2) + np.uint64(1)) + _draw[1]).min(axis=0))
     return [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)]
 
 
