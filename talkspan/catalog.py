@@ -129,10 +129,9 @@ def x01(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", T.n_words(t).alias("n_words"), F.size(T.sentences(t)).alias("n_sentences"), F.size(T.keywords(t)).alias("n_keywords"), F.size(F.array_distinct(T.keywords(t))).alias("n_distinct"))
 
 
-@query("x05_numbers", "SELECT doc_id, len(regexp_extract_all(text, '\\b\\d+(?:,\\d{3})*(?:\\.\\d+)?\\b')) AS n_numbers FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query("x05_numbers", "SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', ' ', 'g'), '[^\\x00-\\x7F]', 'a', 'g'), '\\b\\d+(?:,\\d{3})*(?:\\.\\d+)?\\b')) AS n_numbers FROM documents")
 def x05(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return d.select("doc_id", F.size(T.numbers(F.col("text"))).alias("n_numbers"))
+    return table(spark, sf, "documents").select("doc_id", F.size(T.numbers(F.col("text"))).alias("n_numbers"))
 
 
 @query("x09_clean_pages", "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,'\\s+',' ','g'),'^\\s+|\\s+$','','g'),'\\[.*?\\]','','g'),'<.*?>','','g'),'^\\s+|\\s+$','','g')) AS cleaned FROM pages")
@@ -145,11 +144,13 @@ def x10(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", T.norm_hash(F.col("text")).alias("h"))
 
 
-@query("x20_relevance", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), a AS (SELECT * FROM e WHERE vec_id % 50 = 0) SELECT a.vec_id AS a, e.vec_id AS b, round(list_cosine_similarity(a.v, e.v), 6) AS relevance FROM a JOIN e ON e.vec_id = a.vec_id + 1")
+@query("x20_relevance", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT e.vec_id AS a, e.b, round(list_cosine_similarity(e.v, n.v), 6) AS relevance FROM e JOIN e n ON n.vec_id = e.b")
 def x20(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", R.normalised(F.col("embedding")).alias("v"))
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("q"), (F.col("vec_id") + 1).alias("vec_id"))
-    return a.join(e, "vec_id").select("a", F.col("vec_id").alias("b"), F.round(T.dot(F.col("q"), F.col("v")), 6).alias("relevance"))
+    """Every vector against the next one of its label."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", R.normalised(F.col("embedding")).alias("v"))
+    pairs = e.select("label", "vec_id").withColumn("b", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))).where("b is not null").select(F.col("vec_id").alias("a"), "b")
+    left, right = e.select(F.col("vec_id").alias("a"), F.col("v").alias("q")), e.select(F.col("vec_id").alias("b"), "v")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(T.dot(F.col("q"), F.col("v")), 6).alias("relevance"))
 
 
 # ---- heuristics ------------------------------------------------------------------------------------------------
@@ -180,7 +181,8 @@ def h04(spark, sf):
 
 @query("h08_keyword_overlap", f"WITH {SQL_EXAMPLES}, f AS (SELECT conv_id, turn, list_distinct({_kw('response')}) AS r, list_distinct({_kw('context_text')}) AS c FROM ex), g AS (SELECT *, len(list_intersect(r,c))/greatest(len(c),1) AS s FROM f) SELECT conv_id, turn, (CASE WHEN len(c)=0 THEN 0.0 WHEN s=0 THEN 0.8 WHEN s<0.2 THEN 0.4 ELSE 0.0 END)::DOUBLE AS score, (CASE WHEN len(c)=0 THEN 0.3 ELSE 0.6 END)::DOUBLE AS confidence FROM g")
 def h08(spark, sf):
-    return _vote(spark, sf, H.keyword_overlap(F.col("response"), F.col("context_text")))
+    own, r, c, _ = H.prepare(examples(spark, sf))
+    return own.select("conv_id", "turn", H.keyword_overlap(r, c).alias("v")).select("conv_id", "turn", F.round("v.score", 6).alias("score"), "v.confidence")
 
 
 @query("h11_sentence_complexity", f"WITH {SQL_EXAMPLES}, f AS (SELECT conv_id, turn, list_transform({_sent('response')}, lambda s: len(regexp_extract_all(s,'\\S+'))) AS l FROM ex), g AS (SELECT conv_id, turn, len(l) AS n, coalesce(list_max(l),0) AS x, coalesce(list_avg(l),0) AS a FROM f) SELECT conv_id, turn, (CASE WHEN x>50 THEN 0.8 WHEN a>35 THEN 0.5 WHEN a>25 AND x>40 THEN 0.4 ELSE 0.0 END)::DOUBLE AS score, (CASE WHEN n=0 THEN 0.3 ELSE 0.6 END)::DOUBLE AS confidence FROM g")
@@ -188,18 +190,62 @@ def h11(spark, sf):
     return _vote(spark, sf, H.sentence_complexity(F.col("response")))
 
 
-@query("h12_weak_labels")
+_RW = "regexp_extract_all(response,'\\S+')"
+_S = _sent("response")
+
+
+def _entities(c: str) -> str:
+    return f"list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({c},'\\S+'), lambda x: regexp_replace(x,'[^\\p{{L}}\\p{{M}}\\p{{N}}_]','','g')), lambda x: length(x)>2 AND regexp_matches(x,'^\\p{{Lu}}')), lambda x: lower(x)))"
+
+
+def _grams(w: str) -> str:
+    return f"list_transform(range(1, greatest(len({w})-1,1)), lambda i: array_to_string({w}[i:i+2],' '))"
+
+
+def _names(ws: list[str]) -> str:
+    return "[" + ",".join(f"'{w}'" for w in ws) + "]"
+
+
+_STARTS = f"len(list_filter(s, lambda x: list_contains({_names(T.START_PRONOUNS)}, regexp_replace(lower(coalesce(regexp_extract_all(x,'\\S+')[1],'')),'[.,]+$',''))))"
+_PRON = f"len(list_filter(regexp_extract_all(lower(response),'\\S+'), lambda x: list_contains({_names(T.PRONOUNS)}, regexp_replace(x,'[.,!?;:]+$',''))))"
+#: Scores and confidences of all votes: lr, rd, id (quantity), ec, en (quality), ko (relation), ap, sc (manner).
+SQL_VOTES = f"""{SQL_EXAMPLES},
+ v0 AS (SELECT conv_id, turn, role, response, evidence, len(w) AS nw, len(w)/({_EXP}) AS q, {_S} AS s, list_distinct({_kw('response')}) AS kr, list_distinct({_kw('context_text')}) AS kc, list_distinct({_kw('evidence')}) AS ke, {_entities('response')} AS er, {_entities('evidence')} AS ee FROM ex),
+ v1 AS (SELECT *, len(s) AS n, list_transform(s, lambda x: list_distinct({_grams("regexp_extract_all(lower(x),'\\S+')")})) AS g, {_STARTS} AS starts, {_PRON}/greatest(nw,1) AS ratio, list_transform(s, lambda x: len(regexp_extract_all(x,'\\S+'))) AS l, CASE WHEN len(kr)=0 OR len(ke)=0 THEN 0.5 ELSE len(list_intersect(kr,ke))/len(kr) END AS cov, len(list_filter(er, lambda x: NOT list_contains(ee,x)))/greatest(len(er),1) AS novel, len(list_intersect(kr,kc))/greatest(len(kc),1) AS shared FROM v0),
+ v2 AS (SELECT *, coalesce(list_avg(list_filter(flatten(list_transform(range(1,len(g)+1), lambda i: list_transform(range(i+1,len(g)+1), lambda j: CASE WHEN len(g[i])>0 AND len(g[j])>0 THEN len(list_intersect(g[i],g[j]))/least(len(g[i]),len(g[j])) END))), lambda x: x IS NOT NULL)),0) AS m, coalesce(list_max(l),0) AS lx, coalesce(list_avg(l),0) AS la FROM v1),
+ vo AS (SELECT conv_id, turn, role, evidence, nw,
+  CASE WHEN q<0.3 THEN least(1.0,(0.3-q)/0.3) WHEN q>3 THEN least(1.0,(q-3)/3) ELSE 0.0 END AS lr, 0.7 AS lr_c,
+  CASE WHEN nw>=20 THEN (CASE WHEN m>0.2 THEN least(1.0,m/0.5) ELSE 0.0 END) END AS rd, CASE WHEN n<2 THEN 0.3 ELSE 0.6 END AS rd_c,
+  CASE WHEN n>2 AND len(kr)/greatest(n,1)<2 THEN (2-len(kr)/greatest(n,1))/2 ELSE 0.0 END AS id, CASE WHEN n=0 THEN 0.3 ELSE 0.5 END AS id_c,
+  CASE WHEN cov<0.3 THEN 1-cov ELSE 0.0 END AS ec, 0.4 AS ec_c, CASE WHEN len(er)>0 AND novel>0.5 THEN novel ELSE 0.0 END AS en, CASE WHEN len(er)=0 THEN 0.3 ELSE 0.5 END AS en_c,
+  CASE WHEN len(kc)=0 THEN 0.0 WHEN shared=0 THEN 0.8 WHEN shared<0.2 THEN 0.4 ELSE 0.0 END AS ko,
+  CASE WHEN nw<5 THEN 0.0 WHEN ratio>0.15 AND starts>1 THEN least(1.0,ratio/0.3) WHEN starts>=n*0.5 AND n>=2 THEN 0.6 ELSE 0.0 END AS ap, CASE WHEN nw<5 THEN 0.3 ELSE 0.5 END AS ap_c,
+  CASE WHEN lx>50 THEN 0.8 WHEN la>35 THEN 0.5 WHEN la>25 AND lx>40 THEN 0.4 ELSE 0.0 END AS sc, CASE WHEN n=0 THEN 0.3 ELSE 0.6 END AS sc_c FROM v2)"""
+
+
+def _mean(*votes: str) -> str:
+    return "(" + "+".join(f"{v}*{v}_c" for v in votes) + ")/(" + "+".join(f"{v}_c" for v in votes) + ")"
+
+
+def _agree(mean: str, *votes: str) -> str:
+    return f"1-least(1.0,4*({'+'.join(f'pow({v}-{mean},2)' for v in votes)})/{len(votes)})"
+
+
+SQL_LABELS = f"""{SQL_VOTES},
+ l0 AS (SELECT *, CASE WHEN nw>=20 THEN {_mean('lr', 'rd', 'id')} ELSE {_mean('lr', 'id')} END AS quantity, CASE WHEN evidence IS NULL THEN 0.0 ELSE {_mean('ec', 'en')} END AS quality, ko AS relation, {_mean('ap', 'sc')} AS manner FROM vo),
+ la AS (SELECT *, CASE WHEN nw>=20 THEN {_agree('quantity', 'lr', 'rd', 'id')} ELSE {_agree('quantity', 'lr', 'id')} END AS quantity_a, CASE WHEN evidence IS NULL THEN 1.0 ELSE {_agree('quality', 'ec', 'en')} END AS quality_a, 1.0 AS relation_a, {_agree('manner', 'ap', 'sc')} AS manner_a FROM l0)"""
+
+
+@query("h12_weak_labels", f"WITH {SQL_LABELS} SELECT conv_id, turn, " + ", ".join(f"round({m},6)::DOUBLE AS {m}_probability, round({m}_a,6)::DOUBLE AS {m}_agreement" for m in MAXIMS) + " FROM la")
 def h12(spark, sf):
-    labels = H.weak_labels(F.col("response"), F.col("context_text"), F.col("evidence"))
-    flat = [F.round(c[p], 6).alias(f"{m}_{p}") for m, c in labels.items() for p in ("probability", "agreement")]
-    return examples(spark, sf).select("conv_id", "turn", *flat)
+    flat = [F.round(f"{m}.{p}", 6).alias(f"{m}_{p}") for m in MAXIMS for p in ("probability", "agreement")]
+    return H.weak_labels(examples(spark, sf)).select("conv_id", "turn", *flat)
 
 
-@query("flagship_weak_label_summary")
+@query("flagship_weak_label_summary", f"WITH {SQL_LABELS}, r AS (" + " UNION ALL ".join(f"SELECT role, '{m}' AS maxim, {m} AS p FROM la" for m in MAXIMS) + ") SELECT role, maxim, count(*) AS n, round(avg(p),6)::DOUBLE AS mean_probability, sum(CASE WHEN p>0.5 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM r GROUP BY role, maxim")
 def flagship(spark, sf):
-    labels = H.weak_labels(F.col("response"), F.col("context_text"), F.col("evidence"))
-    rows = F.array(*[F.struct(F.lit(m).alias("maxim"), c["probability"].alias("p")) for m, c in labels.items()])
-    long = examples(spark, sf).select("role", F.explode(rows).alias("x")).select("role", "x.*")
+    rows = F.array(*[F.struct(F.lit(m).alias("maxim"), F.col(f"{m}.probability").alias("p")) for m in MAXIMS])
+    long = H.weak_labels(examples(spark, sf)).select("role", F.explode(rows).alias("x")).select("role", "x.*")
     return long.groupBy("role", "maxim").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_probability"), F.sum(F.when(F.col("p") > 0.5, 1).otherwise(0)).alias("flagged"))
 
 
@@ -264,7 +310,7 @@ def a12(spark, sf):
     return A.auc(scores(spark, sf))
 
 
-@query("a25_a26_score_diagnostics", f"WITH {SQL_SCORES} SELECT maxim, count(*) AS n, round(avg(p_base),6) AS mean, round(stddev_pop(p_base),6) AS std, min(p_base) AS least, max(p_base) AS most, round(quantile_cont(p_base,0.5),6) AS median, round(avg(CASE WHEN p_base>0.4 AND p_base<0.6 THEN 1.0 ELSE 0.0 END),6) AS middle_share, count(DISTINCT p_base) AS n_values FROM sc GROUP BY maxim")
+@query("a25_a26_score_diagnostics", f"WITH {SQL_SCORES} SELECT maxim, count(*) AS n, round(avg(p_base),6) AS mean, round(stddev_pop(p_base),6) AS std, min(p_base) AS least, max(p_base) AS most, round(quantile_cont(p_base,0.5),6) AS median, round(avg(CASE WHEN p_base>0.4 AND p_base<0.6 THEN 1.0 ELSE 0.0 END),6) AS middle_share, count(DISTINCT p_base) AS n_values, stddev_pop(p_base)<0.1 OR max(p_base)-min(p_base)<0.3 AS compressed, count(DISTINCT p_base)<=10 AS discrete FROM sc GROUP BY maxim")
 def a25(spark, sf):
     return A.describe(scores(spark, sf), "p_base", ["maxim"])
 
@@ -307,8 +353,10 @@ def a01b(spark, sf):
 
 @query("a42_latency_profile", "SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.95),6) AS p95, round(quantile_cont(value,0.99),6) AS p99 FROM events GROUP BY event_type")
 def a42(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), *(F.round(F.percentile(v, F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    v, e = F.col("value"), table(spark, sf, "events").select("event_type", "value")
+    at = A.linear_percentiles(e, ["event_type"], "value", [0.5, 0.95, 0.99])
+    wide = at.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std")).join(wide, "event_type")
 
 
 # ---- pairs -----------------------------------------------------------------------------------------------------
@@ -402,8 +450,7 @@ def t03(spark, sf):
 
 @query("t04_conversation_split", "WITH c AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY md5(conv_id::VARCHAR||'|split'), conv_id) AS k, count(*) OVER () AS n FROM c) SELECT conv_id, CASE WHEN k<=floor(n*0.8) THEN 'train' WHEN k<=floor(n*0.8)+floor(n*0.1) THEN 'val' ELSE 'test' END AS split FROM r")
 def t04(spark, sf):
-    c = turns(spark, sf).select("conv_id").distinct().withColumn("all", F.lit(1))
-    return S.stratified_split(c, ["all"], "conv_id", "split").select("conv_id", "split")
+    return S.stratified_split(turns(spark, sf).select("conv_id").distinct(), [], "conv_id", "split").select("conv_id", "split")
 
 
 @query("t04_hashed_split", "SELECT conv_id, CASE WHEN u<80 THEN 'train' WHEN u<90 THEN 'val' ELSE 'test' END AS split FROM (SELECT DISTINCT conv_id, ('0x'||substr(md5(conv_id::VARCHAR||'|split'),1,8))::BIGINT % 100 AS u FROM conversations)")
@@ -470,18 +517,9 @@ def u01(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("a41_uncertainty_top", f"WITH {SQL_PAIRS}, f AS (SELECT id, length(chosen) AS a, length(rejected) AS b, list_distinct(regexp_extract_all(lower(chosen),'\\S+')) AS x, list_distinct(regexp_extract_all(lower(rejected),'\\S+')) AS y FROM pr), g AS (SELECT id, round(((1-abs(a-b)/greatest(a,b)) + len(list_intersect(x,y))/len(list_distinct(list_concat(x,y))))/2, 6) AS u FROM f) SELECT id, u FROM g ORDER BY u DESC, id LIMIT 50")
-def a41(spark, sf, n=50):
-    a, b = F.length("chosen"), F.length("rejected")
-    j = T.jaccard(F.array_distinct(T.words(F.lower("chosen"))), F.array_distinct(T.words(F.lower("rejected"))))
-    u = F.round(((1 - F.abs(a - b) / F.greatest(a, b)) + j) / 2, 6)
-    return preference_pairs(spark, sf).select("id", u.alias("u")).orderBy(F.col("u").desc(), "id").limit(n)
-
-
-#: The size of the reference; a41_uncertainty_top is its short form.
-@query("a41_uncertainty_top_500", SQL["a41_uncertainty_top"].removesuffix("LIMIT 50") + "LIMIT 500")
-def a41_whole(spark, sf):
-    return a41(spark, sf, 500)
+@query("a41_uncertainty_top", f"WITH {SQL_PAIRS}, f AS (SELECT id, length(chosen) AS a, length(rejected) AS b, list_distinct(regexp_extract_all(lower(chosen),'\\S+')) AS x, list_distinct(regexp_extract_all(lower(rejected),'\\S+')) AS y FROM pr), g AS (SELECT id, round(((1-coalesce(abs(a-b)/nullif(greatest(a,b),0),0)) + coalesce(len(list_intersect(x,y))/nullif(len(list_distinct(list_concat(x,y))),0),0))/2, 6) AS u FROM f) SELECT id, u FROM g ORDER BY u DESC, id LIMIT 500")
+def a41(spark, sf):
+    return preference_pairs(spark, sf).select("id", P.uncertainty("chosen", "rejected").alias("u")).orderBy(F.col("u").desc(), "id").limit(500)
 
 
 # ---- repeatable violation makers -------------------------------------------------------------------------------
@@ -514,24 +552,47 @@ def i21b(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.md5(F.concat(F.lit("Well, a related point is that things are complex. "), T.first_piece(F.col("text")))).alias("violated"))
 
 
-@query("i09_jargon")
+_EDGE = "[^\\p{L}\\p{M}\\p{N}_]"  # DuckDB's \b knows ASCII words only
+_STEPS = ", ".join(f"{{'t': '', 'n': 0, 'f': '(?i)(^|{_EDGE}){a}($|{_EDGE})', 'r': '\\1{b}\\2'}}" for a, b in T.JARGON)
+
+
+@query("i09_jargon", f"SELECT conv_id, turn, md5(list_reduce([{{'t': text, 'n': 0, 'f': '', 'r': ''}}, {_STEPS}], lambda a, x: CASE WHEN a.n<3 AND regexp_matches(a.t, x.f) THEN {{'t': regexp_replace(a.t, x.f, x.r), 'n': a.n+1, 'f': '', 'r': ''}} ELSE a END).t) AS violated FROM conversations")
 def i09(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.md5(T.jargon(F.col("text"))).alias("violated"))
 
 
-@query("i20d_jargon_all")
+_ALL = "text"
+for _a, _b in T.JARGON_ALL:
+    _ALL = f"regexp_replace({_ALL}, '(?i)(^|{_EDGE}){_a}($|{_EDGE})', '\\1{_b}\\2', 'g')"
+
+
+@query("i20d_jargon_all", f"SELECT conv_id, turn, md5({_ALL}) AS violated FROM conversations")
 def i20d(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.md5(T.jargon_all(F.col("text"))).alias("violated"))
 
 
-@query("h02_h05_h10_votes")
+@query("h02_h05_h10_votes", f"WITH {SQL_VOTES} SELECT conv_id, turn, round(rd,6)::DOUBLE AS redundancy, round(en,6)::DOUBLE AS entities, round(ap,6)::DOUBLE AS pronouns FROM vo")
 def votes(spark, sf):
-    r, e = F.col("response"), F.col("evidence")
+    own, r, _, e = H.prepare(examples(spark, sf))
     v = {"redundancy": H.redundancy(r), "entities": H.entity_consistency(r, e), "pronouns": H.ambiguous_pronouns(r)}
-    return examples(spark, sf).select("conv_id", "turn", *(F.round(c["score"], 6).alias(n) for n, c in v.items()))
+    return own.select("conv_id", "turn", *(F.round(c["score"], 6).alias(n) for n, c in v.items()))
+
+
+def _most(g: str) -> str:
+    return f"coalesce(list_max(list_transform(list_distinct({g}), lambda y: len(list_filter({g}, lambda z: z=y)))),0)"
+
+
+def sql_degenerate(c: str, w: str, g: str) -> str:
+    return f"(length(regexp_replace({c},'^\\s+|\\s+$','','g'))<8 OR regexp_matches({c},'!{{3,}}|\\?{{3,}}|,{{3,}}|\\.{{3,}}|;{{3,}}|:{{3,}}|-{{3,}}') OR (length({c})-length(replace({c},'!','')))/greatest(len({w}),1)>0.15 OR len(list_filter({w}, lambda x: regexp_matches(x,'^[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+$')))/greatest(len({w}),1)>0.20 OR {_most(g)}>2)"
+
+
+_CLEAN = "text"
+for _a, _b in ((r"([\p{L}\p{M}\p{N}_])!+", r"\1"), (" !+ ", " "), ("!{2,}", "!"), (r"\s+([.,!?;:])", r"\1"), (r"\.([A-Z])", r". \1"), (" {2,}", " ")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_a}', '{_b}', 'g')"
+_TEXTS = f"SELECT conv_id, turn, role, text, w, lw, {_grams('w')} AS g FROM (SELECT *, regexp_extract_all(text,'\\S+') AS w, regexp_extract_all(lower(text),'\\S+') AS lw FROM conversations)"
 
 
-@query("x13_x14_artifacts")
+@query("x13_x14_artifacts", f"SELECT conv_id, turn, (len(w)>=5 AND len(list_filter(w, lambda x: x LIKE '%!'))/greatest(len(w),1)>0.25) AS word_bang, {sql_degenerate('text', 'w', 'g')} AS degenerate, (length(text)-length(replace(text,'?',''))<=2 AND len(w) BETWEEN 10 AND 150 AND (len(w)<=10 OR {_most('lw')}<=0.3*len(w)) AND list_sum(list_transform(w, lambda x: length(x)))/greatest(len(w),1)>=3) AS quality, md5({_CLEAN}) AS cleaned FROM ({_TEXTS})")
 def x14(spark, sf):
     t = F.col("text")
     return turns(spark, sf).select("conv_id", "turn", T.word_bang(t).alias("word_bang"), T.is_degenerate(t).alias("degenerate"), T.quality_response(t).alias("quality"), F.md5(T.clean_artifacts(t)).alias("cleaned"))

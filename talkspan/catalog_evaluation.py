@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import _M, _NEXT, MAXIMS, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, _sent, _sql_u, _u, examples, preference_pairs, query, scores, system_scores, turns
+from .catalog import _M, _NEXT, MAXIMS, _grams, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, _sent, _sql_u, _u, examples, preference_pairs, query, scores, sql_degenerate, system_scores, turns
 from .functions import heuristics as H
 from .functions import text as T
 from .functions import topics
@@ -254,13 +254,18 @@ def a34(spark, sf):
     return j.groupBy("kind").agg(F.round(F.avg(b), 6).alias("mean"), F.round(F.stddev_pop(b), 6).alias("std"), F.min(b).alias("least"), F.max(b).alias("most"), F.round(F.avg(F.when(F.col("same"), 1.0).otherwise(0.0)), 6).alias("exact"))
 
 
-@query("a38_degeneracy_audit")
+_AUDITED = f"d AS (SELECT id, maxim, text, w, {_grams('w')} AS g FROM (SELECT *, {_W('text')} AS w FROM vi WHERE maxim<>'none')), e AS (SELECT maxim, {sql_degenerate('text', 'w', 'g')} AS bad, length({_TRIM('text')})<40 AS short FROM d)"
+
+
+@query("a38_degeneracy_audit", f"WITH {SQL_VIOLATED}, {_AUDITED}, t AS (SELECT count(*) AS n, count(*) FILTER (maxim<>'relation') AS k FROM e) SELECT maxim, count(*) AS n, count(*) FILTER (bad) AS degenerate, count(*) FILTER (short) AS fallback, round(count(*) FILTER (bad)/any_value(t.k),6)::DOUBLE AS share_of_audited, round(count(*) FILTER (bad)/any_value(t.n),6)::DOUBLE AS share_of_all FROM e, t WHERE maxim<>'relation' GROUP BY maxim")
 def a38(spark, sf):
-    """Counts by maxim; relation is not audited, but all rows are the denominator."""
+    """Counts by maxim but relation, which is not audited, as shares of the audited rows and of all."""
     v = violated(spark, sf).where("maxim <> 'none'")
-    total = F.sum("n").over(Window.partitionBy())  # over one row a maxim
     by = v.groupBy("maxim").agg(F.count("*").alias("n"), F.count_if(T.is_degenerate(F.col("text"))).alias("degenerate"), F.count_if(F.length(T.strip(F.col("text"))) < 40).alias("fallback"))
-    return by.withColumn("total", total).where("maxim <> 'relation'").select("maxim", "n", "degenerate", "fallback", F.round(F.col("degenerate") / F.col("total"), 6).alias("degenerate_share"))
+    every = Window.partitionBy()  # over one row a maxim
+    share = lambda c: F.round(F.col("degenerate") / F.sum(c).over(every), 6)
+    out = by.withColumns({"share_of_audited": share(F.when(F.col("maxim") != "relation", F.col("n"))), "share_of_all": share(F.col("n"))})
+    return out.where("maxim <> 'relation'")
 
 
 _FLAGS = f"WITH {SQL_SCORES}, fl AS (SELECT id, sum(CASE WHEN p_base>0.5 THEN 1 ELSE 0 END)::BIGINT AS v_before, sum(CASE WHEN p_tuned>0.5 THEN 1 ELSE 0 END)::BIGINT AS v_after, sum(CASE WHEN p_base>0.5 AND p_tuned<=0.5 THEN 1 ELSE 0 END) AS fixed, sum(CASE WHEN p_base<=0.5 AND p_tuned>0.5 THEN 1 ELSE 0 END)::BIGINT AS v_new FROM sc GROUP BY id)"
@@ -342,26 +347,15 @@ def a47(spark, sf):
 @query(
     "t11_annotation_sample",
     f"WITH {SQL_VIOLATED}, "
-    + ", ".join(f"s{k} AS (SELECT id, '{m}' AS category FROM vi WHERE {w}" + "".join(f" AND id NOT IN (SELECT id FROM s{j})" for j in range(k)) + f" ORDER BY md5(id::VARCHAR||'|ann{k}'), id LIMIT {n})" for k, (m, w, n) in enumerate([*((m, f"(maxim='{m}' OR contains(violation_type,'{m}'))", 20) for m in MAXIMS), ("clean", "maxim='none'", 20), ("random", "true", 10)]))
+    + ", ".join(f"s{k} AS (SELECT id, '{m}' AS category FROM vi WHERE {w}" + "".join(f" AND id NOT IN (SELECT id FROM s{j})" for j in range(k)) + f" ORDER BY md5(id::VARCHAR||'|ann{k}'), id LIMIT {n})" for k, (m, w, n) in enumerate([*((m, f"(maxim='{m}' OR contains(violation_type,'{m}'))", 200) for m in MAXIMS), ("clean", "maxim='none'", 200), ("random", "true", 100)]))
     + " " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(6)),
 )
-def t11(spark, sf, n=20, n_random=10):
+def t11(spark, sf, n=200, n_random=100):
     v = violated(spark, sf).select("id", "maxim", "violation_type")
     wants = [*((m, (F.col("maxim") == m) | F.col("violation_type").contains(m), n) for m in MAXIMS), ("clean", F.col("maxim") == "none", n), ("random", F.lit(True), n_random)]
     return S.quota_sample(v, wants, "id", "ann").select("id", "category")
 
 
-#: The size of the reference; t11_annotation_sample is its short form.
-@query(
-    "t11_annotation_sample_whole",
-    f"WITH {SQL_VIOLATED}, "
-    + ", ".join(f"s{k} AS (SELECT id, '{m}' AS category FROM vi WHERE {w}" + "".join(f" AND id NOT IN (SELECT id FROM s{j})" for j in range(k)) + f" ORDER BY md5(id::VARCHAR||'|ann{k}'), id LIMIT {n})" for k, (m, w, n) in enumerate([*((m, f"(maxim='{m}' OR contains(violation_type,'{m}'))", 200) for m in MAXIMS), ("clean", "maxim='none'", 200), ("random", "true", 100)]))
-    + " " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(6)),
-)
-def t11_whole(spark, sf):
-    return t11(spark, sf, 200, 100)
-
-
 @query("t12_relation_sample", f"WITH {SQL_EXAMPLES}, i AS (SELECT {_ID} AS id, concat_ws(' ', '[REPAIR]', {_TOKENS}) AS t FROM ex) SELECT id FROM i WHERE contains(t,'[VIOLATION=RELATION]') ORDER BY md5(id::VARCHAR||'|rel'), id LIMIT 200")
 def t12(spark, sf):
     types = F.array_compact(F.array(*(F.when(_u(id_(), f"v_{m}") < 0.4, m) for m in MAXIMS)))
@@ -384,7 +378,7 @@ def j08(spark, sf):
 # ---- texts -----------------------------------------------------------------------------------------------------
 
 
-@query("j10_sentence_pairs", f"WITH s AS (SELECT conv_id, turn, {_sent('text')} AS s FROM conversations), w AS (SELECT conv_id, turn, list_transform(s, lambda x: list_distinct({_W('lower(x)')})) AS w FROM s), p AS (SELECT conv_id, turn, a.i AS i, a.j AS j, w[a.i] AS x, w[a.j] AS y FROM w, (SELECT i, j FROM range(1,200) r(i), range(1,200) q(j) WHERE i<j) a WHERE a.j<=len(w)) SELECT conv_id, turn, count(*) AS n_pairs, round(max(len(list_intersect(x,y))/least(len(x),len(y))),6) AS most FROM p GROUP BY 1, 2")
+@query("j10_sentence_pairs", f"WITH s AS (SELECT conv_id, turn, {_sent('text')} AS s FROM conversations), w AS (SELECT conv_id, turn, list_transform(s, lambda x: list_distinct({_W('lower(x)')})) AS w FROM s), p AS (SELECT conv_id, turn, a.i AS i, a.j AS j, w[a.i] AS x, w[a.j] AS y FROM w, (SELECT i, j FROM range(1,200) r(i), range(1,200) q(j) WHERE i<j) a WHERE a.j<=len(w)) SELECT conv_id, turn, count(*) AS n_pairs, round(max(coalesce(len(list_intersect(x,y))/nullif(least(len(x),len(y)),0),0)),6) AS most FROM p GROUP BY 1, 2")
 def j10(spark, sf):
     pairs = H.sentence_overlaps(F.col("text"))
     return turns(spark, sf).select("conv_id", "turn", pairs.alias("p")).where(F.size("p") > 0).select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), F.round(F.array_max("p"), 6).alias("most"))

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 
 
+class Parts:
+    """What the heuristics need of a text. Built on a text column, or read from columns that prepare() has added, so
+    that each is computed once however many heuristics use it."""
+
+    def __init__(self, text: Column, prefix: str | None = None):
+        own = {"words": T.n_words(text), "sentences": T.sentences(text), "keywords": F.array_distinct(T.keywords(text)), "entities": T.entities(text)}
+        self.text = text
+        for name, column in own.items():
+            setattr(self, name, column if prefix is None else F.col(f"{prefix}_{name}"))
+
+    def columns(self, prefix: str, names: list[str]) -> dict[str, Column]:
+        return {f"{prefix}_{n}": getattr(self, n) for n in names}
+
+
+def parts(text: Column | Parts) -> Parts:
+    return text if isinstance(text, Parts) else Parts(text)
+
+
 def vote(name: str, maxim: str, score: Column, confidence: Column | float) -> Column:
     confidence = F.lit(confidence) if isinstance(confidence, float) else confidence
     return F.struct(F.lit(name).alias("name"), F.lit(maxim).alias("maxim"), score.cast("double").alias("score"), confidence.cast("double").alias("confidence"))
 
 
 def length_ratio(response: Column, context: Column) -> Column:
+    context = context.text if isinstance(context, Parts) else context
     asked = F.size(F.regexp_extract_all(F.lower(context), F.lit(r"\b(who|what|when|where|why|how)\b"), F.lit(0)))
     expected = F.when(asked == 0, 10.0).when(asked == 1, 20.0).otherwise(30.0)
     many = F.substring(context, 1, F.greatest(F.length(context) - 1, F.lit(0))).contains("?") | F.lower(context).contains(" and ")
-    ratio = T.n_words(response) / F.when(many, expected * 1.5).otherwise(expected)
+    ratio = parts(response).words / F.when(many, expected * 1.5).otherwise(expected)
     return vote("length_ratio", "quantity", F.when(ratio < 0.3, F.least(F.lit(1.0), (0.3 - ratio) / 0.3)).when(ratio > 3, F.least(F.lit(1.0), (ratio - 3) / 3)).otherwise(0.0), 0.7)
 
 
@@ -32,27 +51,29 @@ def redundancy(response: Column) -> Column:
         shares = F.flatten(F.transform(grams, lambda g, i: F.when(F.size(g) > 0, against(g, i)).otherwise(F.array().cast("array<double>"))))
         return T.let(shares, lambda x: F.coalesce(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), F.size(x)), F.lit(0.0)))
 
-    grams = F.transform(T.sentences(response), lambda s: F.array_distinct(T.ngrams(T.words(F.lower(s)))))
+    own = parts(response)
+    grams = F.transform(own.sentences, lambda s: F.array_distinct(T.ngrams(T.words(F.lower(s)))))
     score = T.let(T.let(grams, mean_overlap), lambda m: F.when(m > 0.2, F.least(F.lit(1.0), m / 0.5)).otherwise(0.0))
-    confidence = F.when(F.size(T.sentences(response)) < 2, 0.3).otherwise(0.6)
-    return F.when(T.n_words(response) >= 20, vote("redundancy", "quantity", score, confidence))
+    confidence = F.when(F.size(own.sentences) < 2, 0.3).otherwise(0.6)
+    return F.when(own.words >= 20, vote("redundancy", "quantity", score, confidence))
 
 
 def info_density(response: Column) -> Column:
-    n = F.size(T.sentences(response))
-    density = F.size(F.array_distinct(T.keywords(response))) / F.greatest(n, F.lit(1))
+    own = parts(response)
+    n = F.size(own.sentences)
+    density = F.size(own.keywords) / F.greatest(n, F.lit(1))
     score = F.when((n > 2) & (density < 2), (2 - density) / 2).otherwise(0.0)
     return vote("info_density", "quantity", score, F.when(n == 0, 0.3).otherwise(0.5))
 
 
 def evidence_coverage(response: Column, evidence: Column) -> Column:
-    r, e = F.array_distinct(T.keywords(response)), F.array_distinct(T.keywords(evidence))
+    r, e = parts(response).keywords, parts(evidence).keywords
     share = F.when((F.size(r) == 0) | (F.size(e) == 0), 0.5).otherwise(F.size(F.array_intersect(r, e)) / F.greatest(F.size(r), F.lit(1)))
     return vote("evidence_coverage", "quality", F.when(share < 0.3, 1 - share).otherwise(0.0), 0.4)
 
 
 def entity_consistency(response: Column, evidence: Column) -> Column:
-    r, e = T.entities(response), T.entities(evidence)
+    r, e = parts(response).entities, parts(evidence).entities
     novel = F.size(F.array_except(r, e)) / F.greatest(F.size(r), F.lit(1))
     return vote("entity_consistency", "quality", F.when((F.size(r) > 0) & (novel > 0.5), novel).otherwise(0.0), F.when(F.size(r) == 0, 0.3).otherwise(0.5))
 
@@ -62,7 +83,7 @@ def no_evidence() -> Column:
 
 
 def keyword_overlap(response: Column, context: Column) -> Column:
-    c, r = F.array_distinct(T.keywords(context)), F.array_distinct(T.keywords(response))
+    c, r = parts(context).keywords, parts(response).keywords
     share = F.size(F.array_intersect(c, r)) / F.greatest(F.size(c), F.lit(1))
     score = F.when(F.size(c) == 0, 0.0).when(share == 0, 0.8).when(share < 0.2, 0.4).otherwise(0.0)
     return vote("keyword_overlap", "relation", score, F.when(F.size(c) == 0, 0.3).otherwise(0.6))
@@ -71,11 +92,12 @@ def keyword_overlap(response: Column, context: Column) -> Column:
 def ambiguous_pronouns(response: Column) -> Column:
     start = F.array(*[F.lit(w) for w in T.START_PRONOUNS])
     first = lambda x: F.regexp_replace(F.lower(F.coalesce(F.get(T.words(x), 0), F.lit(""))), r"[.,]+$", "")
+    own = parts(response)
     facts = T.let(
-        T.sentences(response),
+        own.sentences,
         lambda s: F.struct(
             F.size(s).alias("n"), F.size(F.filter(s, lambda x: F.array_contains(start, first(x)))).alias("starts"),
-            T.n_words(response).alias("w"), (F.size(T.pronouns(response)) / F.greatest(T.n_words(response), F.lit(1))).alias("ratio"),
+            own.words.alias("w"), (F.size(T.pronouns(own.text)) / F.greatest(own.words, F.lit(1))).alias("ratio"),
         ),
     )
     score = lambda f: F.when(f["w"] < 5, 0.0).when((f["ratio"] > 0.15) & (f["starts"] > 1), F.least(F.lit(1.0), f["ratio"] / 0.3)).when((f["starts"] >= f["n"] * 0.5) & (f["n"] >= 2), 0.6).otherwise(0.0)
@@ -89,7 +111,7 @@ def sentence_complexity(response: Column) -> Column:
         score = F.when(most > 50, 0.8).when(mean > 35, 0.5).when((mean > 25) & (most > 40), 0.4).otherwise(0.0)
         return vote("sentence_complexity", "manner", score, F.when(F.size(lengths) == 0, 0.3).otherwise(0.6))
 
-    return T.let(F.transform(T.sentences(response), lambda s: T.n_words(s)), judge)
+    return T.let(F.transform(parts(response).sentences, lambda s: T.n_words(s)), judge)
 
 
 def combine(votes: Column) -> Column:
@@ -111,14 +133,38 @@ def combine(votes: Column) -> Column:
     return T.let(T.let(votes, strong), sums)
 
 
-def weak_labels(response: Column, context: Column, evidence: Column) -> dict[str, Column]:
-    """Combined label of each maxim; evidence null where a turn has none."""
-    return {
-        "quantity": combine(F.array_compact(F.array(length_ratio(response, context), redundancy(response), info_density(response)))),
-        "quality": combine(F.when(evidence.isNull(), F.array(no_evidence())).otherwise(F.array(evidence_coverage(response, evidence), entity_consistency(response, evidence)))),
-        "relation": combine(F.array(keyword_overlap(response, context))),
-        "manner": combine(F.array(ambiguous_pronouns(response), sentence_complexity(response))),
+#: Builders of votes by name: (response, context, evidence) as columns or Parts. More can be added.
+REGISTRY = {
+    "length_ratio": lambda r, c, e: length_ratio(r, c),
+    "redundancy": lambda r, c, e: redundancy(r),
+    "info_density": lambda r, c, e: info_density(r),
+    "evidence_coverage": lambda r, c, e: evidence_coverage(r, e),
+    "entity_consistency": lambda r, c, e: entity_consistency(r, e),
+    "no_evidence": lambda r, c, e: no_evidence(),
+    "keyword_overlap": lambda r, c, e: keyword_overlap(r, c),
+    "ambiguous_pronouns": lambda r, c, e: ambiguous_pronouns(r),
+    "sentence_complexity": lambda r, c, e: sentence_complexity(r),
+}
+
+
+def prepare(rows: DataFrame) -> tuple[DataFrame, Parts, Parts, Parts]:
+    """rows (response, context_text, evidence) with the parts of their texts as columns, and the three Parts."""
+    r, c, e = F.col("response"), F.col("context_text"), F.col("evidence")
+    made = Parts(r).columns("_r", ["words", "sentences", "keywords", "entities"]) | Parts(c).columns("_c", ["keywords"]) | Parts(e).columns("_e", ["keywords", "entities"])
+    return rows.withColumns(made), Parts(r, "_r"), Parts(c, "_c"), Parts(e, "_e")
+
+
+def weak_labels(rows: DataFrame) -> DataFrame:
+    """rows with a struct (probability, agreement) for each maxim; evidence is null where a turn has none."""
+    own, r, c, e = prepare(rows)
+    vote_of = lambda *names: [REGISTRY[n](r, c, e) for n in names]
+    votes = {
+        "quantity": F.array_compact(F.array(*vote_of("length_ratio", "redundancy", "info_density"))),
+        "quality": F.when(e.text.isNull(), F.array(*vote_of("no_evidence"))).otherwise(F.array(*vote_of("evidence_coverage", "entity_consistency"))),
+        "relation": F.array(*vote_of("keyword_overlap")),
+        "manner": F.array(*vote_of("ambiguous_pronouns", "sentence_complexity")),
     }
+    return own.select(*rows.columns, *(combine(v).alias(m) for m, v in votes.items()))
 
 
 def semantic_similarity(similarity: Column) -> Column:
@@ -145,10 +191,10 @@ def readability(response: Column) -> Column:
 
 
 def sentence_overlaps(response: Column) -> Column:
-    """Overlaps (shared over the smaller) of the word sets of each two sentences of a text, as one array."""
+    """Overlaps (shared over the smaller) of the word sets of each two sentences of a text, as one array; 0 without words."""
 
     def all_(s):
-        share = lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
+        share = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y))), F.lit(0.0))
         return F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda y: share(x, y))))
 
     return T.let(F.transform(T.sentences(response), lambda x: F.array_distinct(T.words(F.lower(x)))), all_)

@@ -6,13 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stopwords, pronouns, and pronouns that are ambiguous at a sentence's start.
-STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can "
-    "need dare and or but if then than when where what who which that this these those it its to of in on at by for "
-    "with about from not no yes so as like just very really i you we they he she me us them my your"
-).split()
-PRONOUNS = "it they them this that these those he she him her his hers its their".split()
-START_PRONOUNS = "it this that they these those".split()
+STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "and", "or", "but", "if", "then", "than", "when", "where", "what", "who", "which", "that", "this", "these", "those", "it", "its", "to", "of", "in", "on", "at", "by", "for", "with", "about", "from", "not", "no", "yes", "so", "as", "like", "just", "very", "really", "i", "you", "we", "they", "he", "she", "me", "us", "them", "my", "your"]
+PRONOUNS = ["it", "they", "them", "this", "that", "these", "those", "he", "she", "him", "her", "his", "hers", "its", "their"]
+START_PRONOUNS = ["it", "this", "that", "they", "these", "those"]
 
 # Common word and technical word, in order of replacement.
 JARGON = [
@@ -84,18 +80,25 @@ def sentences(c: Column) -> Column:
 
 def keywords(c: Column, least: int = 4) -> Column:
     """Lower-case ASCII words that are no stopwords, with repeats."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b[a-zA-Z]+\b"), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    stop = "|".join(w for w in STOPWORDS if len(w) >= least)
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)\b(?!(?:{stop})\b)[a-zA-Z]{{{least},}}\b"), F.lit(0))
 
 
 def pronouns(c: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in PRONOUNS])
-    return F.filter(words(F.lower(c)), lambda w: F.array_contains(known, F.regexp_replace(w, r"[.,!?;:]+$", "")))
+    """The words that are pronouns but for marks after them, with those."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)(?<!\S)(?:{'|'.join(PRONOUNS)})[.,!?;:]*(?!\S)"), F.lit(0))
 
 
 def numbers(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"), F.lit(0))
+    """Numbers that stand alone; characters beyond ASCII part words unless they are letters or numbers themselves."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"[^\x00-\x7F\p{L}\p{N}]", " "), r"[^\x00-\x7F]", "a")
+    return F.regexp_extract_all(plain, F.lit(r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"), F.lit(0))
+
+
+def named_entities(c: Column) -> Column:
+    """Words with a capital first and over one letter, without marks, in order and with repeats."""
+    big = F.filter(words(c), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 1))
+    return F.filter(F.transform(big, lambda w: F.regexp_replace(w, r"(?U)[^\w]", "")), lambda w: w != "")
 
 
 def entities(c: Column) -> Column:
@@ -122,7 +125,7 @@ def norm_hash(c: Column) -> Column:
 
 
 def clean_artifacts(c: Column) -> Column:
-    for pattern, to in ((r"(\w)!+", "$1"), (r" !+ ", " "), (r"!{2,}", "!"), (r"\s+([.,!?;:])", "$1"), (r"\.([A-Z])", ". $1"), (r" {2,}", " ")):
+    for pattern, to in ((r"([\p{L}\p{M}\p{N}_])!+", "$1"), (r" !+ ", " "), (r"!{2,}", "!"), (r"\s+([.,!?;:])", "$1"), (r"\.([A-Z])", ". $1"), (r" {2,}", " ")):
         c = F.regexp_replace(c, pattern, to)
     return c
 
@@ -145,7 +148,7 @@ def _occurrences(c: Column, mark: str) -> Column:
 def is_degenerate(c: Column) -> Column:
     def judge(w):
         n = F.greatest(F.size(w), F.lit(1))
-        marks = F.size(F.filter(w, lambda x: x.rlike(r"^[^\w\s]+$")))
+        marks = F.size(F.filter(w, lambda x: x.rlike(r"^[^\p{L}\p{M}\p{N}_\s]+$")))
         return (_occurrences(c, "!") / n > 0.15) | (marks / n > 0.20) | (let(ngrams(w), _most) > 2)
 
     return (F.length(strip(c)) < 8) | c.rlike(r"([!?,.;:\-])\1{2,}") | let(words(c), judge)
@@ -177,13 +180,19 @@ def pick(key: Column, salt: str, n: int) -> Column:
 
 def jargon(c: Column, most: int = 3) -> Column:
     """First occurrences of the first `most` words of JARGON that occur."""
-    table = F.array(*[F.struct(F.lit(rf"(?i)\b{a}\b").alias("find"), F.lit(rf"(?is)^(.*?)\b{a}\b").alias("cut"), F.lit("$1" + b).alias("to")) for a, b in JARGON])
 
-    def step(acc, j):
-        hit = (acc["n"] < most) & F.regexp_like(acc["t"], j["find"])
-        return F.struct(F.when(hit, F.regexp_replace(acc["t"], j["cut"], j["to"])).otherwise(acc["t"]).alias("t"), F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+    def step_of(common: str, technical: str):
+        def step(acc):
+            hit = (acc["n"] < most) & acc["t"].rlike(rf"(?i)\b{common}\b")
+            text = F.when(hit, F.regexp_replace(acc["t"], rf"(?is)^(.*?)\b{common}\b", "$1" + technical)).otherwise(acc["t"])
+            return F.struct(text.alias("t"), F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+
+        return step
 
-    return F.aggregate(table, F.struct(c.alias("t"), F.lit(0).alias("n")), step)["t"]
+    made = F.struct(c.alias("t"), F.lit(0).alias("n"))
+    for common, technical in JARGON:  # one step a word, so that its patterns are literals
+        made = let(made, step_of(common, technical))
+    return made["t"]
 
 
 def jargon_all(c: Column) -> Column:

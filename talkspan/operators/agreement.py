@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from .metrics import running
 
 
 @F.pandas_udf(DoubleType())
@@ -118,9 +119,8 @@ def bootstrap_f1(rows: DataFrame, truth: Column, guess: Column, resamples: int =
 def mann_whitney_p(rows: DataFrame, key: str, value: str, system: str, first: str, second: str) -> DataFrame:
     """Two-sided p of U by the normal approximation with tie and continuity corrections; null if all values are equal."""
     c = rows.groupBy(key, value).agg(F.count_if(F.col(system) == first).alias("a"), F.count_if(F.col(system) == second).alias("b"))
-    w = Window.partitionBy(key).orderBy(value)
     t = (F.col("a") + F.col("b")).cast("double")
-    s = c.withColumn("u", F.col("a") * (F.sum("b").over(w) - F.col("b") / 2)).groupBy(key).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(t * t * t - t).alias("ties"))
+    s = running(c, [key], value, ["b"]).withColumn("u", F.col("a") * (F.col("below_b") + F.col("b") / 2)).groupBy(key).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(t * t * t - t).alias("ties"))
     n, area = (F.col("n1") + F.col("n2")).cast("double"), F.col("n1") * F.col("n2").cast("double")
     var = area / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     z = F.greatest(F.abs(F.col("u") - area / 2) - 0.5, F.lit(0.0)) / F.nullif(F.sqrt(var), F.lit(0.0))

@@ -78,21 +78,54 @@ def best_f1_threshold(rows: DataFrame, percents: list[int]) -> DataFrame:
     return f.groupBy("maxim").agg(best).select("maxim", "b.t", "b.f1")
 
 
+def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = 4096) -> DataFrame:
+    """counts (a row a distinct value of each key) with below_<c>: the sum of c over the key's smaller values.
+
+    Sums of ranges of equal width come first, then those inside a range, so no task holds all values of a key. Two
+    numbers go to the driver.
+    """
+    ends = counts.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
+    low, width = ends["a"] or 0.0, (ends["b"] or 0.0) - (ends["a"] or 0.0)
+    part = F.floor((F.col(value) - low) * float(parts) / width) if width > 0 else F.lit(0)
+    own = counts.withColumn("_p", part.cast("int"))
+    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = own.groupBy(*keys, "_p").agg(*(F.sum(c).alias(c) for c in sums)).select(*keys, "_p", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    inner = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = own.join(ranges, [*keys, "_p"])
+    return joined.withColumns({f"below_{c}": F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums}).drop("_p", *(f"_before_{c}" for c in sums))
+
+
+def linear_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, share, value: percentiles with linear interpolation, from running counts of distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    run = running(counts, keys, "v", ["n"]).join(totals, keys) if keys else running(counts, keys, "v", ["n"]).crossJoin(totals)
+    want = run.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("h", (F.col("total") - 1) * F.col("share"))
+    at = lambda k: F.min(F.when(F.col("below_n") + F.col("n") > k, F.col("v")))
+    got = want.groupBy(*keys, "share").agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.any_value("h").alias("h"))
+    return got.select(*keys, "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("value"))
+
+
 def auc(rows: DataFrame) -> DataFrame:
     """Rank statistic with average ranks by maxim; 0 where undefined. Ranks come from counts of distinct scores."""
-    ties = rows.groupBy("maxim", "p_base").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    below = F.sum("n").over(Window.partitionBy("maxim").orderBy("p_base").rowsBetween(Window.unboundedPreceding, -1))
-    rank = F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2
+    ties = running(rows.groupBy("maxim", "p_base").agg(F.count("*").alias("n"), F.sum("y").alias("pos")), ["maxim"], "p_base", ["n"])
+    rank = F.col("below_n") + (F.col("n") + 1) / 2
     out = ties.withColumn("r", rank).groupBy("maxim").agg(F.sum(F.col("r") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return out.select("maxim", F.round(ratio(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
 
 
 def describe(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Moments, median and shares of a score by key, and the flags compressed (std under .1 or range under .3) and discrete."""
     c = F.col(column)
-    return rows.groupBy(*keys).agg(
-        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"),
-        F.round(F.percentile(c, F.lit(0.5)), 6).alias("median"), F.round(F.avg(F.when((c > 0.4) & (c < 0.6), 1.0).otherwise(0.0)), 6).alias("middle_share"), F.count_distinct(c).alias("n_values"),
+    by = rows.groupBy(*keys).agg(
+        F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.min(c).alias("least"), F.max(c).alias("most"),
+        F.round(F.avg(F.when((c > 0.4) & (c < 0.6), 1.0).otherwise(0.0)), 6).alias("middle_share"),
     )
+    values = rows.groupBy(*keys, column).agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count(column).alias("n_values"))
+    half = linear_percentiles(rows, keys, column, [0.5]).select(*keys, F.round("value", 6).alias("median"))
+    out = by.join(values, keys).join(half, keys)
+    flags = [((F.col("s") < 0.1) | (F.col("most") - F.col("least") < 0.3)).alias("compressed"), (F.col("n_values") <= 10).alias("discrete")]
+    return out.select(*keys, "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"), "least", "most", "median", "middle_share", "n_values", *flags)
 
 
 def histogram(rows: DataFrame, column: str, edges: list[float], keys: list[str]) -> DataFrame:
@@ -149,8 +182,7 @@ def index_percentiles(rows: DataFrame, column: str, percents: list[int]) -> Data
 def mann_whitney(rows: DataFrame, key: str, value: str, system: str, first: str, second: str) -> DataFrame:
     """U of the first system over the second for each key, ties as half. Counts of distinct values are ranked, not rows."""
     c = rows.groupBy(key, value).agg(F.count_if(F.col(system) == first).alias("a"), F.count_if(F.col(system) == second).alias("b"))
-    w = Window.partitionBy(key).orderBy(value)
-    u = c.withColumn("u", F.col("a") * (F.sum("b").over(w) - F.col("b") / 2))
+    u = running(c, [key], value, ["b"]).withColumn("u", F.col("a") * (F.col("below_b") + F.col("b") / 2))
     return u.groupBy(key).agg(F.sum("a").alias("n_first"), F.sum("b").alias("n_second"), F.sum("u").alias("u"))
 
 

@@ -103,6 +103,13 @@ def fix_manner(pairs: DataFrame, keep_over: float = 0.05) -> DataFrame:
     return _swap(pairs, ((F.col("m_manner") < -0.2) & (rest > 0.1)) | every, keep_over)
 
 
+def uncertainty(a: str, b: str):
+    """Mean of the likeness of two texts in length and in words; two empty texts are of one length and share no word."""
+    x, y = F.length(a), F.length(b)
+    likeness = 1 - F.coalesce(F.try_divide(F.abs(x - y), F.greatest(x, y)), F.lit(0.0))
+    return F.round((likeness + T.jaccard(F.array_distinct(T.words(F.lower(a))), F.array_distinct(T.words(F.lower(b))))) / 2, 6)
+
+
 def _swap(pairs: DataFrame, which, keep_over: float) -> DataFrame:
     out = pairs.withColumn("swapped", F.coalesce(which, F.lit(False)))
     s = F.col("swapped")

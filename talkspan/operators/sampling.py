@@ -17,12 +17,13 @@ def per_group(rows: DataFrame, keys: list[str], cap: int, id_: str, salt: str) -
 
 
 def stratified_split(rows: DataFrame, keys: list[str], id_: str, salt: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """Column split: the first int(train * n) of each stratum are train, the next int(val * n) val, the rest test."""
-    w = Window.partitionBy(*keys)
-    k, n = F.row_number().over(w.orderBy(order_key(id_, salt), F.col(id_))), F.count("*").over(w)
-    return rows.withColumn("_k", k).withColumn("_n", n).withColumn(
-        "split", F.when(F.col("_k") <= F.floor(F.col("_n") * train), "train").when(F.col("_k") <= F.floor(F.col("_n") * train) + F.floor(F.col("_n") * val), "val").otherwise("test")
-    ).drop("_k", "_n")
+    """Column split: the first int(train * n) of each stratum are train, the next int(val * n) val, the rest test.
+
+    Without keys all rows are one stratum. No task sorts a stratum whole, see ranked().
+    """
+    k, n = F.col("_k"), F.col("_n")
+    split = F.when(k <= F.floor(n * train), "train").when(k <= F.floor(n * train) + F.floor(n * val), "val").otherwise("test")
+    return ranked(rows, keys, id_, salt).withColumn("split", split).drop("_k", "_n")
 
 
 def hashed_split(column: str, salt: str, train: int = 80, val: int = 10):
@@ -38,11 +39,11 @@ def keep_first(rows: DataFrame, key, id_: str) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, keys: list[str], id_: str, cap: int) -> DataFrame:
-    """Groups over cap rows keep each (n // cap)-th row, cap at most."""
-    w = Window.partitionBy(*keys)
-    r = rows.withColumn("_k", F.row_number().over(w.orderBy(id_)) - 1).withColumn("_n", F.count("*").over(w))
+    """Groups over cap rows keep each (n // cap)-th row by id, cap at most."""
+    r = placed(rows, keys, F.col(id_), id_)
     step = F.greatest(F.floor(F.col("_n") / cap), F.lit(1))
-    return r.where((F.col("_n") <= cap) | ((F.col("_k") % step == 0) & (F.col("_k") / step < cap))).drop("_k", "_n")
+    k = F.col("_k") - 1
+    return r.where((F.col("_n") <= cap) | ((k % step == 0) & (k / step < cap))).drop("_k", "_n")
 
 
 def oversample(rows: DataFrame, times: int) -> DataFrame:
@@ -55,14 +56,25 @@ def ranked(rows: DataFrame, keys: list[str], id_: str, salt: str) -> DataFrame:
     Ranks of hash prefixes come first, then places inside a prefix, so a hot group is sorted by up to 4096 tasks.
     """
     r = rows.withColumn("_h", order_key(id_, salt)).withColumn("_p", F.substring("_h", 1, 3))
+    return _places(r, keys, "_h", id_)
+
+
+def placed(rows: DataFrame, keys: list[str], by, id_: str, parts: int = 4096) -> DataFrame:
+    """As ranked(), in the order of a number `by`, which is cut into ranges of equal width; two numbers go to the driver."""
+    ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
+    low, width = ends["a"] or 0, max((ends["b"] or 0) - (ends["a"] or 0), 0)
+    part = F.floor((by - low) * float(parts) / width) if width else F.lit(0)
+    return _places(rows.withColumn("_h", by).withColumn("_p", part.cast("int")), keys, "_h", id_)
+
+
+def _places(r: DataFrame, keys: list[str], order: str, id_: str) -> DataFrame:
     w = Window.partitionBy(*keys)
-    sizes = r.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    sizes = r.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))  # at most 4097 rows a group
     sizes = sizes.select(*keys, "_p", (F.sum("_c").over(w.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
-    k = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", id_))
-    same = [r[c].eqNullSafe(sizes[c]) for c in (*keys, "_p")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    k = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order, id_))
+    on = r["_p"].eqNullSafe(sizes["_p"])
+    for c in keys:
+        on = on & r[c].eqNullSafe(sizes[c])
     joined = r.join(sizes, on).drop(*(sizes[c] for c in (*keys, "_p")))
     return joined.withColumn("_k", k).drop("_h", "_p", "_before")
 
