@@ -224,11 +224,15 @@ def first_manner(key: Column, text: Column) -> Column:
     return F.coalesce(manner_ambiguous(key, text), manner_shuffled(key, text), manner_jargon(text), T.runon(text))
 
 
-def multiple(key: Column, text: Column, maxims: Sequence[str]) -> Column:
-    """One violation after the other; null if one does not apply or is not of quantity, quality or manner."""
-    makers = {"quantity": quantity_over, "quality": quality_unsupported, "manner": first_manner}
+def multiple(key: Column, text: Column, maxims: Sequence[str], context: Column | None = None) -> Column:
+    """One violation after the other; null if one does not apply. A relation violation needs no context but uses one."""
+    about = F.lit("") if context is None else context
+    relation = lambda k, t: F.coalesce(relation_off_topic(k, t, about), relation_drift(k, t))
+    makers = {"quantity": quantity_over, "quality": quality_unsupported, "manner": first_manner, "relation": relation}
+    if unknown := [m for m in maxims if m not in makers]:
+        raise ValueError(f"unknown maxims: {unknown}")
     for m in maxims:
-        text = T.let(text, _bind(makers[m], key)) if m in makers else F.lit(None).cast("string")
+        text = T.let(text, _bind(makers[m], key))
     return text
 
 

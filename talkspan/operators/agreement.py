@@ -125,3 +125,25 @@ def mann_whitney_p(rows: DataFrame, key: str, value: str, system: str, first: st
     var = area / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     z = F.greatest(F.abs(F.col("u") - area / 2) - 0.5, F.lit(0.0)) / F.nullif(F.sqrt(var), F.lit(0.0))
     return s.select(key, "u", _normal_tails(z).alias("p_value"))
+
+
+def kappa_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, agreement, kappa of rows (keys, a, b, n): multi-class; where chance alone agrees fully kappa is 1 only if all do."""
+    rows = cells.groupBy(*keys, "a").agg(F.sum("n").alias("x")).withColumnRenamed("a", "c")
+    cols = cells.groupBy(*keys, "b").agg(F.sum("n").alias("y")).withColumnRenamed("b", "c")
+    chance = rows.join(cols, [*keys, "c"]).groupBy(*keys).agg(F.sum(F.col("x") * F.col("y").cast("double")).alias("xy"))
+    seen = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
+    j = (seen.join(chance, keys, "left") if keys else seen.crossJoin(chance)).withColumns({"po": F.col("same") / F.col("n"), "pe": F.coalesce("xy", F.lit(0.0)) / (F.col("n") * F.col("n"))})
+    kappa = F.when(F.col("pe") == 1, F.when(F.col("po") == 1, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")))
+    return j.select(*keys, "n", F.round("po", 6).alias("agreement"), F.round(kappa, 6).alias("kappa"))
+
+
+def kappa(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Multi-class Cohen's kappa of rows with two ratings; rows without both are left out."""
+    own = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return kappa_counts(own.groupBy(*keys, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")), keys)
+
+
+def band(c: Column, limits: list[tuple[float, str]], below: str) -> Column:
+    """The name of the first limit that c reaches."""
+    return F.coalesce(*(F.when(c >= x, name) for x, name in limits), F.lit(below))

@@ -214,3 +214,59 @@ def artifact_counts(rows: DataFrame, text: str, marks: list[str], keys: list[str
         return (F.size(w) > 6) & often
 
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(c.contains(m)).alias(f"mark{k}") for k, m in enumerate(marks)), F.count_if(T.let(T.words(c), thrice)).alias("repeating"))
+
+
+def with_pooled(rows: DataFrame, key: str = "maxim", name: str = "overall") -> DataFrame:
+    """Every row by its key and once more under `name`, for reports with a pooled line."""
+    return rows.withColumn(key, F.explode(F.array(F.col(key), F.lit(name))))
+
+
+def match_rates(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """One row (n, exact, partial): shares of responses with all, with any of their labels right."""
+    own = rows.groupBy("id").agg(F.bool_and(truth == guess).alias("all"), F.bool_or(truth == guess).alias("any"))
+    share = lambda c: F.round(F.avg(F.when(F.col(c), 1.0).otherwise(0.0)), 6)
+    return own.agg(F.count("*").alias("n"), share("all").alias("exact"), share("any").alias("partial"))
+
+
+def sweep_winner(rows: DataFrame, percents: list[int], start: int = 50) -> DataFrame:
+    """The threshold with most maxims improved, then most cooperative responses, then the smallest; start if none improves."""
+    by = sweep(rows, percents).groupBy("t").agg(F.count_if(F.col("base_rate") > F.col("tuned_rate")).alias("improved"))
+    t = rows.withColumn("t", F.explode(F.array(*[F.lit(p) for p in percents])))
+    clean = t.groupBy("id", "t").agg(F.max(F.when(F.col("p_tuned") > F.col("t") / 100, 1).otherwise(0)).alias("v")).groupBy("t").agg(F.round(1 - F.avg("v"), 6).alias("cooperative"))
+    best = by.join(clean, "t").agg(F.max_by(F.struct("t", "improved", "cooperative"), F.struct("improved", "cooperative", -F.col("t"))).alias("b"))
+    none = (F.col("b.improved") == 0) & (F.col("b.cooperative") == 0)
+    return best.select(F.when(none, start).otherwise(F.col("b.t")).alias("t"), "b.improved", "b.cooperative")
+
+
+def optimal_thresholds(rows: DataFrame, percents: list[int], start: int = 50) -> DataFrame:
+    """By maxim the first threshold with the greatest relative improvement at a tuned rate between .1 and .8; start if none."""
+    s = sweep(rows, percents)
+    fit = (F.col("base_rate") > 0) & (F.col("tuned_rate") > 0.1) & (F.col("tuned_rate") < 0.8)
+    gain = F.when(fit, F.round((F.col("base_rate") - F.col("tuned_rate")) / F.col("base_rate"), 6))
+    best = s.withColumn("gain", gain).groupBy("maxim").agg(F.max_by(F.struct("t", "gain"), F.when(F.col("gain").isNotNull(), F.struct("gain", -F.col("t")))).alias("b"))
+    return best.select("maxim", F.coalesce("b.t", F.lit(start)).alias("t"), F.col("b.gain").alias("improvement"))
+
+
+def independence(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """maxim, total, solo (violated alone) and solo over total."""
+    hit = rows.where(F.col("p_base") > threshold).groupBy("id").agg(F.collect_set("maxim").alias("m"))
+    by = hit.select(F.explode("m").alias("maxim"), (F.size("m") == 1).alias("alone")).groupBy("maxim").agg(F.count("*").alias("total"), F.count_if("alone").alias("solo"))
+    return by.withColumn("independence", F.round(F.col("solo") / F.col("total"), 6))
+
+
+def calibrated(p: Column, temperature: Column) -> Column:
+    """sigmoid(logit(p) / T), of a probability kept off 0 and 1."""
+    x = F.ln(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
+    return 1 / (1 + F.exp(-x / temperature))
+
+
+def preference_loss(logit: Column, margins: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Mean over maxims, by weight, of -log sigmoid(logit) times the margin, which counts 0.01 at least."""
+    loss = F.greatest(-logit, F.lit(0.0)) + F.log1p(F.exp(-F.abs(logit)))
+    return sum((loss * F.greatest(m, F.lit(0.01)) * weights[k] for k, m in margins.items()), F.lit(0.0)) / sum(weights.values())
+
+
+def focal_loss(p: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """alpha (1 - pt)^gamma times the cross-entropy, pt the probability given to the truth."""
+    pt = F.greatest(F.when(y == 1, p).otherwise(1 - p), F.lit(1e-6))
+    return alpha * F.pow(1 - pt, F.lit(gamma)) * -F.ln(pt)

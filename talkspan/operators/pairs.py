@@ -136,3 +136,33 @@ def clean_annotated(rows: DataFrame, least_words: int = 8) -> DataFrame:
         .otherwise("kept")
     )
     return out.withColumn("strength", F.when(F.col("preference").contains("much"), 1.0).otherwise(0.6)).withColumn("reason", reason)
+
+
+def route(violations) -> "F.Column":
+    """The way to repair a response: retrieval for relation, editing for other maxims, none without a violation."""
+    upper = F.transform(violations, lambda v: F.upper(v))
+    return F.when(F.size(violations) == 0, "none").when(F.array_contains(upper, "RELATION"), "retrieve").otherwise("edit")
+
+
+def repaired(way, response, edited, retrieved) -> "F.Column":
+    """The repaired text: what was retrieved or edited, or the response where that is missing or degenerate."""
+    made = F.when(way == "retrieve", retrieved).when(way == "edit", edited)
+    return F.when(made.isNull() | T.is_degenerate(made), response).otherwise(made)
+
+
+def length_guard(old, new, low: float = 0.6, high: float = 1.4) -> "F.Column":
+    """Whether a rewritten text is about as long, in words, as the old one; false without words."""
+    share = F.try_divide(T.n_words(new), T.n_words(old))
+    return F.coalesce((share >= low) & (share <= high), F.lit(False))
+
+
+def prompt(context, evidence) -> "F.Column":
+    """The instruction of a preference pair, with or without evidence."""
+    end = F.lit("\n\nGenerate a cooperative response:")
+    head = F.concat(F.lit("Context: "), context)
+    return F.when(F.coalesce(evidence, F.lit("")) != "", F.concat(head, F.lit("\nEvidence: "), evidence, end)).otherwise(F.concat(head, end))
+
+
+def continuation_prompt(context) -> "F.Column":
+    """The instruction to continue a conversation."""
+    return F.concat(F.lit("Continue the following conversation naturally, following Gricean maxims (be relevant, truthful, clear, appropriately informative):\n\n"), context, F.lit("\n\nResponse:"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Queries that may be broadcast at once (64 floats each); more go in blocks.
+#: Queries that are broadcast at once; more go in blocks.
 QUERY_BLOCK = 20_000
+#: Scores held at once inside a task.
+SCORES = 1 << 22
 
 
 def normalised(c):
@@ -16,16 +20,54 @@ def normalised(c):
     return F.transform(c, lambda x: F.try_divide(x.cast("double"), norm))
 
 
+def _unit(column) -> np.ndarray:
+    """Rows of a list column as unit vectors; null vectors and those without length are zero."""
+    rows = column.to_pylist()
+    size = max((len(r) for r in rows if r), default=0)
+    x = np.array([r if r else [0.0] * size for r in rows], float).reshape(len(rows), size)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, vec_id, rank, score) of the k nearest others. A stated query set meets all rows, in blocks."""
+    """Rows (query_id, vec_id, rank, score) of the k nearest others; equal scores (to six places) go by id.
+
+    A stated query set meets all rows, exactly: the queries are read in blocks of QUERY_BLOCK, each is broadcast, every
+    batch of rows is multiplied with it and gives out only its own k best a query, and those are merged by a group
+    limit. The queries are collected while this is called.
+    """
+    shape = "query_id long, vec_id long, score double"
+    rows = corpus.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    c = corpus.select(F.col(id_).alias("vec_id"), normalised(F.col(vector)).alias("v"))
-    out = None
+    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == b) if blocks > 1 else queries
-        q = own.select(F.col(id_).alias("query_id"), normalised(F.col(vector)).alias("q"))
-        scored = c.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(T.dot(F.col("q"), F.col("v")), 6).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
+        own = queries.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == b).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v")).toArrow()
+        shared = corpus.sparkSession.sparkContext.broadcast((own.column("q").to_numpy(), _unit(own.column("v"))))
+
+        def nearest(batches, shared=shared):
+            ids, q = shared.value
+            for batch in batches:
+                if not len(ids) or not len(batch):
+                    continue
+                vec, v = batch.column(0).to_numpy(), _unit(batch.column(1))
+                step = max(1, SCORES // len(ids))
+                for i in range(0, len(vec), step):
+                    other = vec[i : i + step]
+                    score = np.round(q @ v[i : i + step].T, 6) + 0.0
+                    score[ids[:, None] == other[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
+                    best = np.take_along_axis(score, order, axis=1)
+                    keep = np.isfinite(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(other[order][keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
+
+        part = rows.mapInArrow(nearest, shape)
+        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+
+def retrieve_or_keep(top: DataFrame, queries: DataFrame, least: float = 0.3, id_: str = "vec_id") -> DataFrame:
+    """query_id, answer_id, retrieved: the best row at or over the least similarity, else the query itself."""
+    best = top.where((F.col("rank") == 1) & (F.col("score") >= least)).select("query_id", F.col("vec_id").alias("answer_id"))
+    asked = queries.select(F.col(id_).cast("long").alias("query_id"))
+    return asked.join(best, "query_id", "left").select("query_id", F.coalesce("answer_id", "query_id").alias("answer_id"), F.col("answer_id").isNotNull().alias("retrieved"))

@@ -1,14 +1,29 @@
-"""Streaming extension (not a reference capability): windowed counts of heuristic flags over a stream of turns."""
+"""Streaming extension (not a reference capability): windowed counts over streams of turns and events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import heuristics as H
+from ..sources.tables import shared_path
 
 
 def flag_counts(stream: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """stream: ts, text. Responses and long-sentence flags by event-time window."""
     vote = H.sentence_complexity(F.col("text"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.sum(F.when(vote["score"] > 0, 1).otherwise(0)).alias("complex")).select("w.start", "w.end", "n", "complex")
+
+
+def event_counts(spark: SparkSession, path: str, size: str = "1 day") -> DataFrame:
+    """start, event_type, n of all events that the files of a path (a pattern) hold now: one run of a stream, whose state is
+    checkpointed in the shared folder. The result, a row a window and type, is kept in memory."""
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(path)
+    counts = stream.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
+    name = f"events_{uuid.uuid4().hex}"
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_path(spark, "stream")).start()
+    run.awaitTermination()
+    return spark.table(name)
