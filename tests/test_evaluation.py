@@ -83,6 +83,6 @@ def test_labels_of_odd_rows(spark):
 def test_samples_of_the_reference_size(spark):
     sf = "/root/testdata/sf0.01"
     pairs = catalog.preference_pairs(spark, sf).count()
-    assert pairs > 50 and catalog.QUERIES["a41_uncertainty_top_500"](spark, sf).count() == min(500, pairs)
-    got = Counter(r["category"] for r in catalog.QUERIES["t11_annotation_sample_whole"](spark, sf).collect())
+    assert pairs > 50 and catalog.QUERIES["a41_uncertainty_top"](spark, sf).count() == min(500, pairs)
+    got = Counter(r["category"] for r in catalog.QUERIES["t11_annotation_sample"](spark, sf).collect())
     assert 20 < got["clean"] <= 200 and got["random"] <= 100 and all(20 < got[m] <= 200 for m in catalog.MAXIMS)

@@ -21,7 +21,7 @@ def made(spark):
     rows = spark.createDataFrame(ROWS, "k long, t string, c string")
     k, t, c = F.col("k"), F.col("t"), F.col("c")
     cols = K.singles(k, t, c) | {f"b_{n}": x for n, x in (K.realistic_text(k, t) | K.realistic_words(k, t)).items()}
-    cols |= {"multi": K.multiple(k, t, ["quality", "quantity"]), "unknown": K.multiple(k, t, ["quality", "relation"])}
+    cols |= {"multi": K.multiple(k, t, ["quality", "quantity"]), "about": K.multiple(k, t, ["quality", "relation"])}
     return {r["k"]: r for r in rows.select("k", *(x.alias(n) for n, x in cols.items())).collect()}
 
 
@@ -38,7 +38,7 @@ def test_single_violations(made):
         if r["manner_ambiguous"]:
             changed = [(a, b) for a, b in zip(TEXT.split(), r["manner_ambiguous"].split()) if a != b]
             assert 1 <= len(changed) <= 3 and all(b in K.SUBJECTS and a in ("Amazon", "Many", "People", "Brazil", "Boats") for a, b in changed)
-        assert r["unknown"] is None
+        assert r["about"] in sum(K.OFF_TOPIC.values(), [])
     assert len({r["manner_ambiguous"] for r in whole}) > 3
 
 
@@ -76,3 +76,8 @@ def test_notebook_makers(spark):
 def test_schedule(spark):
     rows = catalog.QUERIES["i24_schedule"](spark, "/root/testdata/sf0.001").select("maxim", "method").collect()
     assert {(r["maxim"], r["method"]) for r in rows} == {(m, g) for m in ("quantity", "quality", "relation", "manner") for g in ("injector", "mined", "adversarial")}
+
+
+def test_unknown_maxims_are_an_error(spark):
+    with pytest.raises(ValueError):
+        K.multiple(F.lit(1), F.lit("text"), ["quality", "style"])
