@@ -119,3 +119,20 @@ def test_router(spark):
     got = {x["id"]: (x["w"], x["o"]) for x in rows.select("id", P.route(F.col("v")).alias("w"), P.repaired(P.route(F.col("v")), F.col("t"), F.col("e"), F.col("r")).alias("o")).collect()}
     assert got == {1: ("retrieve", "found text of some length"), 2: ("edit", "old text of some length"), 3: ("edit", "new text of some length"), 4: ("none", "old text of some length")}
     assert [r[0] for r in rows_of(spark, ["a b c d e", ""]).select(P.length_guard(F.col("t"), F.lit("a b c d"))).collect()] == [True, False]
+
+
+def test_mcnemar_p_by_hand(spark):
+    pairs = [(0.9, 0.1)] * 12 + [(0.1, 0.9)] * 3 + [(0.9, 0.9)] * 5
+    r = A.mcnemar(spark.createDataFrame([("m", a, b) for a, b in pairs], "maxim string, p_base double, p_tuned double")).first()
+    assert (r["base_only"], r["tuned_only"], r["both"], r["neither"]) == (12, 3, 5, 0)
+    assert r["chi2"] == pytest.approx((9 - 1) ** 2 / 15, abs=1e-6)
+    assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(64 / 15 / 2)), abs=1e-6)  # 0.0389: chi-square of one degree
+    assert r["p_value"] == pytest.approx(0.0389, abs=1e-3)
+
+
+def test_bootstrap_mean_has_the_right_width(spark):
+    rows = spark.range(400).select("id", F.lit("m").alias("maxim"), (F.col("id") % 10 / 10).alias("p"))
+    r = A.bootstrap_mean(rows, "p").first()
+    spread = math.sqrt(sum((k / 10 - 0.45) ** 2 for k in range(10)) / 10 / 400)  # the standard error of the mean
+    assert r["mean"] == pytest.approx(0.45, abs=spread) and r["low"] < 0.45 < r["high"]
+    assert 2.5 * spread < r["high"] - r["low"] < 6 * spread
