@@ -10,13 +10,19 @@ from . import text as T
 
 class Parts:
     """What the heuristics need of a text. Built on a text column, or read from columns that prepare() has added, so
-    that each is computed once however many heuristics use it."""
+    that each is computed once however many heuristics use it. A part that nobody asks for is not built."""
+
+    MAKERS = {"words": T.n_words, "sentences": T.sentences, "keywords": lambda c: F.array_distinct(T.keywords(c)), "entities": T.entities}
 
     def __init__(self, text: Column, prefix: str | None = None):
-        own = {"words": T.n_words(text), "sentences": T.sentences(text), "keywords": F.array_distinct(T.keywords(text)), "entities": T.entities(text)}
-        self.text = text
-        for name, column in own.items():
-            setattr(self, name, column if prefix is None else F.col(f"{prefix}_{name}"))
+        self.text, self.prefix = text, prefix
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in self.MAKERS:
+            raise AttributeError(name)
+        made = self.MAKERS[name](self.text) if self.prefix is None else F.col(f"{self.prefix}_{name}")
+        setattr(self, name, made)
+        return made
 
     def columns(self, prefix: str, names: list[str]) -> dict[str, Column]:
         return {f"{prefix}_{n}": getattr(self, n) for n in names}

@@ -9,7 +9,13 @@ from ..functions import text as T
 
 
 def extract_examples(turns: DataFrame, context_turns: int = 3, least_words: int = 5) -> DataFrame:
-    """Turns of least_words or more with their up to context_turns predecessors (short ones included)."""
+    """Turns of least_words or more with their up to context_turns predecessors (short ones included).
+
+    The deal by conversation is the one that the windows need anyway. Its number of parts is stated, as the few bytes of
+    a text can carry much work: parts merged by size would leave that to one task.
+    """
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = turns.repartition(parts, "conv_id")
     w = Window.partitionBy("conv_id").orderBy("turn")
     said = F.concat(F.lit("["), F.col("role"), F.lit("]: "), F.col("text"))
     context = F.array_join(F.collect_list(said).over(w.rowsBetween(-context_turns, -1)), " ")
