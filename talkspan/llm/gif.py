@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ MOST_PIXELS = 1 << 26
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
 
+@lru_cache(64)
 def _widths(bits: int, n: int) -> np.ndarray:
     """Bits of the n codes after a clear code, for samples of `bits` bits: the table has one entry more after each but the first."""
     entries = (1 << bits) + 1 + np.arange(n)
@@ -36,36 +38,34 @@ def _widths(bits: int, n: int) -> np.ndarray:
 
 
 def lzw_codes(samples: bytes, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their widths; the table is cleared when it is full."""
+    """Codes and their widths; the table is cleared when it is full. Inside, codes stand eight bits up, for the next sample."""
     clear, runs, out = 1 << bits, [], []
-    top = (1 << MOST_BITS) - 1
+    first, top = (clear + 2) << 8, ((1 << MOST_BITS) - 1) << 8
     table: dict[int, int] = {}
-    following, prefix = clear + 2, -1
-    for b in samples:
-        if prefix < 0:
-            prefix = b
+    get, add, following = table.get, out.append, first
+    prefix = samples[0] << 8
+    for b in memoryview(samples)[1:]:
+        code = get(prefix | b)
+        if code is not None:
+            prefix = code
             continue
-        k = prefix << 8 | b
-        code = table.get(k)
-        if code is None:
-            out.append(prefix)
-            if following == top:
-                runs.append(out)
-                out, table, following = [], {}, clear + 2
-            else:
-                table[k] = following
-                following += 1
-            prefix = b
+        add(prefix)
+        if following < top:
+            table[prefix | b] = following
+            following += 256
         else:
-            prefix = code
-    if prefix >= 0:
-        out.append(prefix)
+            runs.append(out)
+            out, following = [], first
+            add = out.append
+            table.clear()
+        prefix = b << 8
+    add(prefix)
     runs.append(out)
     codes, widths = [np.array([clear])], [np.array([bits + 1])]
+    spans = _widths(bits, 1 << MOST_BITS)
     for k, run in enumerate(runs):
-        ended = clear + 1 if k == len(runs) - 1 else clear
-        codes.append(np.array([*run, ended], np.int64))
-        widths.append(_widths(bits, len(run) + 1))
+        codes += [np.array(run, np.int64) >> 8, np.array([clear + (k == len(runs) - 1)])]
+        widths.append(spans[: len(run) + 1])
     return np.concatenate(codes), np.concatenate(widths)
 
 
@@ -115,12 +115,13 @@ def unpack_samples(stream: bytes, bits: int, n: int) -> bytes:
     body = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
     total, at, out, have = 8 * len(stream), 0, [], 0
     roots = [bytes([k]) for k in range(clear)] + [b"", b""]
-    table, last, place = list(roots), None, 0  # place: codes since the last clear code
+    table, last, place = list(roots), b"", 0  # last: the string before, empty after a clear code; place: codes since then
     spans = _widths(bits, most)
     while have < n:
-        w = spans[place:] if place < len(spans) - 256 else np.full(4096, MOST_BITS)
+        w = spans[place:] if place < len(spans) - 256 else np.full(most, MOST_BITS)
         start = at + np.cumsum(w) - w
-        fit = int(np.searchsorted(start + w, total, "right"))
+        fit = int(np.searchsorted(start, total - w[-1], "right"))
+        fit += int(np.searchsorted((start + w)[fit : fit + MOST_BITS], total, "right"))
         if not fit:
             break
         start, w = start[:fit], w[:fit]
@@ -128,35 +129,45 @@ def unpack_samples(stream: bytes, bits: int, n: int) -> bytes:
         codes = ((body[b] | body[b + 1] << 8 | body[b + 2] << 16) >> (start & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         end = int(marks[0]) if len(marks) else fit
-        for c in codes[:end].tolist():
-            if last is None:
-                if c >= clear:
-                    return b"".join(out)[:n]
-                entry = roots[c]
-            elif c < len(table):
-                entry = table[c]
-            elif c == len(table) < most:
-                entry = last + last[:1]
-            else:
-                return b"".join(out)[:n]
-            if last is not None and len(table) < most:
-                table.append(last + entry[:1])
-            out.append(entry)
-            have += len(entry)
-            last = entry
-            if have >= n:
-                break
+        part, broken = _strings(codes[:end].tolist(), table, last, clear, most)
+        out.append(b"".join(part))
+        have += len(out[-1])
+        if broken or (len(marks) and codes[end] != clear):
+            break
         if len(marks):
-            if codes[end] != clear:
-                break
-            table, last, place = list(roots), None, 0
+            table, last, place = list(roots), b"", 0
             at = int(start[end] + w[end])
         else:
-            place += fit
+            last, place = part[-1], place + fit
             at = int(start[-1] + w[-1])
     return b"".join(out)[:n]
 
 
+def _strings(codes: list, table: list, last: bytes, clear: int, most: int) -> tuple[list, bool]:
+    """The strings of codes between two clear codes, and whether one was not in the table, which grows with them."""
+    out = []
+    if not last and codes:
+        if codes[0] >= clear:
+            return out, True
+        last = table[codes[0]]
+        out.append(last)
+        codes = codes[1:]
+    room = max(0, most - len(table))
+    put, add = out.append, table.append
+    for c in codes[:room]:
+        try:
+            entry = table[c]
+        except IndexError:
+            if c != len(table):
+                return out, True
+            entry = last + last[:1]
+        add(last + entry[:1])
+        put(entry)
+        last = entry
+    out += [table[c] for c in codes[room:]]
+    return out, False
+
+
 @dataclass
 class Frame:
     left: int
@@ -167,8 +178,17 @@ class Frame:
     disposal: int
     transparent: int | None
     samples: np.ndarray  # (height, width) palette indices
-    palette: np.ndarray  # (256, 3)
-    canvas: np.ndarray  # (rows, columns, 4) after this frame
+    palette: np.ndarray  # 256 colours, as on the canvas
+    canvas: np.ndarray  # (rows, columns) after this frame: red, green, blue, alpha from the low byte up
+
+
+@lru_cache(64)
+def _colours(table: bytes) -> np.ndarray:
+    """A palette as 256 opaque colours; those that it lacks are black."""
+    out = np.zeros((256, 4), np.uint8)
+    out[:, 3] = 255
+    out[: len(table) // 3, :3] = np.frombuffer(table, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
 
 
 def decode(media: bytes) -> Iterator[Frame]:
@@ -188,9 +208,7 @@ def decode(media: bytes) -> Iterator[Frame]:
 
     def palette(at: int, flags: int) -> tuple[np.ndarray, int]:
         size = 3 << ((flags & 7) + 1)
-        out = np.zeros((256, 3), np.uint8)
-        out[: size // 3] = np.frombuffer(take(at, size), np.uint8).reshape(-1, 3)
-        return out, at + size
+        return _colours(take(at, size)), at + size
 
     if take(0, 6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
@@ -200,7 +218,7 @@ def decode(media: bytes) -> Iterator[Frame]:
     at, shared = 13, None
     if flags & 0x80:
         shared, at = palette(at, flags)
-    canvas = np.zeros((rows, columns, 4), np.uint8)
+    canvas = np.zeros((rows, columns), np.uint32)
     delay, disposal, transparent = 0, 0, None
     while (kind := take(at, 1)) != b"\x3b":
         if kind == b"\x21":
@@ -235,9 +253,11 @@ def decode(media: bytes) -> Iterator[Frame]:
         shown = canvas.copy()
         area = shown[top : top + height, left : left + width]
         seen = samples[: area.shape[0], : area.shape[1]]
-        solid = np.ones(seen.shape, bool) if transparent is None else seen != transparent
-        area[solid, :3] = colours[seen[solid]]
-        area[solid, 3] = 255
+        if transparent is None:
+            area[...] = colours[seen]
+        else:
+            solid = seen != transparent
+            area[solid] = colours[seen[solid]]
         yield Frame(left, top, width, height, delay, disposal, transparent, samples, colours, shown)
         if disposal == 3:
             canvas = before
@@ -251,9 +271,11 @@ def decode(media: bytes) -> Iterator[Frame]:
 
 def colour_histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of the visible pixels by the two high bits of red, green and blue: 64 bins."""
-    flat = canvas.reshape(-1, 4)
-    flat = flat[flat[:, 3] > 0]
-    return np.bincount((flat[:, 0] >> 6 << 4 | flat[:, 1] >> 6 << 2 | flat[:, 2] >> 6).astype(np.int64), minlength=64)
+    flat = canvas.ravel()
+    if flat.min(initial=1 << 24) < 1 << 24:
+        flat = flat[flat >= 1 << 24]
+    high = flat >> 6 & 0x30303  # fields at bits 0, 8 and 16; the product brings them together at bits 20, 18 and 16
+    return np.bincount((high * np.uint32(1 << 20 | 1 << 10 | 1) >> 16 & 63).astype(np.intp), minlength=64)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -305,7 +327,7 @@ def frames(media: DataFrame, id_: str = "doc_id", column: str = "media", pixels:
                     if not m.is_valid:
                         raise ValueError("no medium")
                     for k, f in enumerate(decode(m.as_py())):
-                        rgba = f.canvas.tobytes() if pixels else None
+                        rgba = f.canvas.astype("<u4").tobytes() if pixels else None
                         rows.append((d, k, start, 10 * f.delay, f.disposal, f.left, f.top, f.width, f.height, f.canvas.shape[1], f.canvas.shape[0], f.samples.tobytes(), rgba, colour_histogram(f.canvas).tolist(), None))
                         start += 10 * f.delay
                         held += f.samples.size + 4 * pixels * f.canvas.shape[0] * f.canvas.shape[1]

@@ -242,11 +242,15 @@ def test_lzw_late_clear_and_broken_streams():
     assert gif.unpack_samples(b"", 8, 9) == b""
 
 
+def rgba(f):
+    return f.canvas.astype("<u4")[..., None].view(np.uint8)
+
+
 def test_published_sample():
     (f,) = gif.decode(SAMPLE)
     rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
     assert f.samples.tolist() == [[int(c) for c in r] for r in rows]
-    assert f.canvas[0, 0].tolist() == [255, 0, 0, 255] and f.canvas[0, 9].tolist() == [0, 0, 255, 255]
+    assert rgba(f)[0, 0].tolist() == [255, 0, 0, 255] and rgba(f)[0, 9].tolist() == [0, 0, 255, 255]
     hist = gif.colour_histogram(f.canvas)
     assert {k: int(n) for k, n in enumerate(hist) if n} == {63: 16, 48: 42, 3: 42}
 
@@ -272,7 +276,7 @@ def test_disposal_transparency_and_palettes():
         frame([0], 1, 0, 1, 1, 0, 0, palette=bytes([7, 8, 9] * 4)),
         frame([1, 1, 1, 1], 2, 1, 2, 2, 0, 5),  # reaches out of the canvas
     )
-    show = lambda f: ["".join({(255, 0, 0, 255): "r", (0, 255, 0, 255): "g", (0, 0, 255, 255): "b", (7, 8, 9, 255): "x", (0, 0, 0, 0): "."}[tuple(p)] for p in row) for row in f.canvas.tolist()]
+    show = lambda f: ["".join({(255, 0, 0, 255): "r", (0, 255, 0, 255): "g", (0, 0, 255, 255): "b", (7, 8, 9, 255): "x", (0, 0, 0, 0): "."}[tuple(p)] for p in row) for row in rgba(f).tolist()]
     seen = list(gif.decode(media))
     assert [show(f) for f in seen] == [["rrr", "rrr"], ["grr", "rrr"], ["rrr", "rrb"], ["rxr", "rr."], ["rxr", "rrg"]]
     assert [(f.delay, f.disposal) for f in seen] == [(10, 1), (20, 3), (30, 2), (0, 0), (5, 0)]
