@@ -6,10 +6,10 @@ come from models or people are stand-ins by md5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _CM, _M, _ML, _NEXT, MAXIMS, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, SQL_VOTES, _sql_u, _u, examples, preference_pairs, query, scores, sql_degenerate, turns
+from .catalog import _CM, _M, _ML, _NEXT, MAXIMS, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, SQL_VOTES, _sql_u, _u, examples, preference_pairs, query, scores, turns
 from .catalog_evaluation import _ID, KINDS, SQL_RATINGS, SQL_VIOLATED, _of, _pick, _sql_of, id_, ratings, violated
 from .catalog_makers import _id
 from .functions import heuristics as H
@@ -348,25 +348,6 @@ def n02(spark, sf):
     return scores(spark, sf).select("id", "maxim", F.round(p, 6).alias("p"), (p > 0.6).alias("flagged"))
 
 
-_WAY = "CASE WHEN len(v)=0 THEN 'none' WHEN list_contains(v,'relation') THEN 'retrieve' ELSE 'edit' END"
-
-
-@query(
-    "n04_repair_router",
-    f"WITH {SQL_SCORES}, f AS (SELECT id, list_filter(list(CASE WHEN p_base>0.6 THEN maxim END), lambda x: x IS NOT NULL) AS v FROM sc GROUP BY id), t AS (SELECT {_ID} AS id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), "
-    f"w AS (SELECT id, {_WAY} AS way, text, CASE WHEN {_WAY}='retrieve' THEN nxt WHEN {_WAY}='edit' THEN (CASE WHEN id%3=0 THEN 'OK' WHEN id%3=1 THEN 'It should be noted that '||text END) END AS made FROM f JOIN t USING (id)), "
-    "d AS (SELECT *, regexp_extract_all(made,'\\S+') AS m FROM w), g AS (SELECT *, list_transform(range(1, greatest(len(m)-1,1)), lambda i: array_to_string(m[i:i+2],' ')) AS gr FROM d) "
-    "SELECT id, way, md5(CASE WHEN made IS NULL OR {0} THEN text ELSE made END) AS repaired FROM g".replace("{0}", sql_degenerate("made", "m", "gr")),
-)
-def n04(spark, sf):
-    """Each response by its way; edits that are missing or degenerate leave it as it is."""
-    flags = scores(spark, sf).groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("p_base") > 0.6, F.col("maxim")))).alias("v"))
-    t = turns(spark, sf).select(id_().alias("id"), "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("nxt"))
-    edited = F.when(F.col("id") % 3 == 0, "OK").when(F.col("id") % 3 == 1, F.concat(F.lit("It should be noted that "), "text"))
-    rows = flags.join(t, "id").withColumn("way", P.route(F.col("v")))
-    return rows.select("id", "way", F.md5(P.repaired(F.col("way"), F.col("text"), edited, F.col("nxt"))).alias("repaired"))
-
-
 @query("n05_retrieve_or_keep", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v),6) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) SELECT query_id, CASE WHEN score>=0.7 THEN vec_id ELSE query_id END AS answer_id, score>=0.7 AS retrieved FROM r WHERE r=1")
 def n05(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import shared_path
 
 #: Queries that are broadcast at once; more go in blocks.
 QUERY_BLOCK = 20_000
@@ -20,11 +21,17 @@ def normalised(c):
     return F.transform(c, lambda x: F.try_divide(x.cast("double"), norm))
 
 
-def _unit(column) -> np.ndarray:
+def unit(column) -> np.ndarray:
     """Rows of a list column as unit vectors; null vectors and those without length are zero."""
-    rows = column.to_pylist()
-    size = max((len(r) for r in rows if r), default=0)
-    x = np.array([r if r else [0.0] * size for r in rows], float).reshape(len(rows), size)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    if column.null_count or (len(size) and size.min() != size.max()):
+        rows = column.to_pylist()
+        most = max((len(r) for r in rows if r), default=0)
+        x = np.array([r if r else [0.0] * most for r in rows], float).reshape(len(rows), most)
+    else:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), size[0] if len(size) else 0)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
@@ -34,36 +41,46 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, id_: str = "vec_id
 
     A stated query set meets all rows, exactly: the queries are read in blocks of QUERY_BLOCK, each is broadcast, every
     batch of rows is multiplied with it and gives out only its own k best a query, and those are merged by a group
-    limit. The queries are collected while this is called.
+    limit. One block is collected while this is called; of more, each is collected, its result written to a table in the
+    shared folder, and freed before the next, so the driver holds one block whatever the number of queries.
     """
     shape = "query_id long, vec_id long, score double"
     rows = corpus.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    n = queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    for b in range(blocks):
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+    def block(b: int):
         own = queries.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == b).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v")).toArrow()
-        shared = corpus.sparkSession.sparkContext.broadcast((own.column("q").to_numpy(), _unit(own.column("v"))))
+        return corpus.sparkSession.sparkContext.broadcast((own.column("q").to_numpy(), unit(own.column("v"))))
 
-        def nearest(batches, shared=shared):
+    def nearest(shared):
+        def run(batches):
             ids, q = shared.value
             for batch in batches:
                 if not len(ids) or not len(batch):
                     continue
-                vec, v = batch.column(0).to_numpy(), _unit(batch.column(1))
+                vec, v = batch.column(0).to_numpy(), unit(batch.column(1))
                 step = max(1, SCORES // len(ids))
                 for i in range(0, len(vec), step):
                     other = vec[i : i + step]
                     score = np.round(q @ v[i : i + step].T, 6) + 0.0
                     score[ids[:, None] == other[None, :]] = -np.inf
                     order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
-                    best = np.take_along_axis(score, order, axis=1)
-                    keep = np.isfinite(best)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(other[order][keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
+                    top = np.take_along_axis(score, order, axis=1)
+                    keep = np.isfinite(top)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(other[order][keep]), pa.array(top[keep])], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(nearest, shape)
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+        return rows.mapInArrow(run, shape)
+
+    if blocks == 1:
+        return best(nearest(block(0)))
+    path = shared_path(corpus.sparkSession, "nearest")
+    for b in range(blocks):
+        shared = block(b)
+        best(nearest(shared)).write.parquet(f"{path}/block={b}")
+        shared.destroy()
+    return corpus.sparkSession.read.schema("query_id long, vec_id long, rank int, score double").parquet(*(f"{path}/block={b}" for b in range(blocks)))
 
 
 def retrieve_or_keep(top: DataFrame, queries: DataFrame, least: float = 0.3, id_: str = "vec_id") -> DataFrame:
