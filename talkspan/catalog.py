@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from .functions import heuristics as H
 from .functions import text as T
+from .operators import bootstrap as B
 from .operators import examples as E
 from .operators import metrics as A
 from .operators import pairs as P
 from .operators import retrieval as R
 from .operators import sampling as S
+from .operators.ranges import following
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -148,7 +150,7 @@ def x10(spark, sf):
 def x20(spark, sf):
     """Every vector against the next one of its label."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", R.normalised(F.col("embedding")).alias("v"))
-    pairs = e.select("label", "vec_id").withColumn("b", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))).where("b is not null").select(F.col("vec_id").alias("a"), "b")
+    pairs = following(e.select("label", "vec_id"), ["label"], "vec_id", "b").where("b is not null").select(F.col("vec_id").alias("a"), "b")
     left, right = e.select(F.col("vec_id").alias("a"), F.col("v").alias("q")), e.select(F.col("vec_id").alias("b"), "v")
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(T.dot(F.col("q"), F.col("v")), 6).alias("relevance"))
 
@@ -335,9 +337,18 @@ def a33(spark, sf):
     return A.cooccurrence(scores(spark, sf))
 
 
-@query("a16_bootstrap_mean")
+def sql_weights(ids: str) -> str:
+    """CTE wt (id, b, w): the weights of bootstrap.weights() for the ids of a table."""
+    number = lambda key: f"('0x'||substr(md5({key}::VARCHAR||'|{B.SALT}'),1,8))::BIGINT % {B.PRIME - 1} + 1"
+    reached = "+".join(f"(x>={limit})::INT" for limit in B.limits())
+    return f"""wt AS (SELECT id, b, {reached} AS w FROM (SELECT id, b, ((r*c)%{B.PRIME}*((r*c)%{B.PRIME})+r)%{B.PRIME} AS x FROM
+ (SELECT DISTINCT id, {number('id')} AS r FROM {ids}), (SELECT b, {number('b')} AS c FROM range({B.RESAMPLES}) AS g(b))))"""
+
+
+@query("a16_bootstrap_mean", f"WITH {SQL_SCORES}, {sql_weights('sc')}, m AS (SELECT maxim, b, sum(w*p_base)/nullif(sum(w),0) AS m FROM sc JOIN wt USING (id) GROUP BY maxim, b) SELECT maxim, round(quantile_cont(m,0.025),6) AS low, round(avg(m),6) AS mean, round(quantile_cont(m,0.975),6) AS high FROM m GROUP BY maxim")
 def a16(spark, sf):
-    return A.bootstrap_mean(scores(spark, sf), "p_base")
+    """Intervals of 10,000 resamples."""
+    return B.mean_interval(scores(spark, sf), "p_base", ["maxim"])
 
 
 @query("a01_length_percentiles", "WITH l AS (SELECT len(regexp_extract_all(text,'\\S+')) AS n, row_number() OVER (ORDER BY len(regexp_extract_all(text,'\\S+')))-1 AS k FROM conversations), c AS (SELECT count(*) AS total FROM l) SELECT p::INT AS p, n AS value FROM c, unnest([10,25,50,75,90,95,99]) AS g(p), l WHERE l.k = floor(total*p/100)")
@@ -351,12 +362,10 @@ def a01b(spark, sf):
     return turns(spark, sf).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("std"), F.count_distinct("conv_id").alias("n_conversations"))
 
 
-@query("a42_latency_profile", "SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.95),6) AS p95, round(quantile_cont(value,0.99),6) AS p99 FROM events GROUP BY event_type")
+@query("a42_latency_profile", "SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.95),6) AS p95, round(quantile_cont(value,0.99),6) AS p99, min(value) AS least, max(value) AS most, round(count(value)/nullif(sum(value)/1000,0),6) AS per_second FROM events GROUP BY event_type")
 def a42(spark, sf):
-    v, e = F.col("value"), table(spark, sf, "events").select("event_type", "value")
-    at = A.linear_percentiles(e, ["event_type"], "value", [0.5, 0.95, 0.99])
-    wide = at.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std")).join(wide, "event_type")
+    """Latencies in milliseconds by type, and how many samples a second they come to one after another."""
+    return A.latency_profile(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value")
 
 
 # ---- pairs -----------------------------------------------------------------------------------------------------

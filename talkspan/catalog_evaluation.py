@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import _M, _NEXT, MAXIMS, _grams, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, _sent, _sql_u, _u, examples, preference_pairs, query, scores, sql_degenerate, system_scores, turns
+from .catalog import _M, _NEXT, MAXIMS, _grams, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, _sent, _sql_u, _u, examples, preference_pairs, query, scores, sql_degenerate, sql_weights, system_scores, turns
 from .functions import heuristics as H
 from .functions import text as T
 from .functions import topics
 from .operators import agreement as G
+from .operators import bootstrap as B
 from .operators import examples as E
 from .operators import metrics as A
 from .operators import pairs as P
@@ -210,9 +211,17 @@ def a20p(spark, sf):
     return G.mann_whitney_p(system_scores(spark, sf), "maxim", "p", "system", "base", "tuned")
 
 
-@query("a17_bootstrap_f1")
+_BY_INDEX = "round(list_sort(list(f))[(count(*)*25//1000)::INT+1],6) AS low, round(avg(f),6) AS mean, round(list_sort(list(f))[(count(*)*975//1000)::INT+1],6) AS high"
+
+
+@query(
+    "a17_bootstrap_f1",
+    f"WITH {SQL_SCORES}, {sql_weights('sc')}, c AS (SELECT maxim, b, sum(CASE WHEN y=1 AND p_base>0.5 THEN w ELSE 0 END) AS tp, sum(CASE WHEN (y=1)<>(p_base>0.5) THEN w ELSE 0 END) AS e FROM sc JOIN wt USING (id) GROUP BY maxim, b), f1 AS (SELECT maxim, b, coalesce(2*tp/nullif(2*tp+e,0),0) AS f FROM c), "
+    f"al AS (SELECT maxim, f FROM f1 UNION ALL SELECT 'macro', avg(f) FROM f1 GROUP BY b) SELECT maxim, {_BY_INDEX} FROM al GROUP BY maxim",
+)
 def a17(spark, sf):
-    return G.bootstrap_f1(scores(spark, sf), F.col("y") == 1, F.col("p_base") > 0.5)
+    """Intervals of 10,000 resamples by maxim, and of their mean."""
+    return B.f1_interval(scores(spark, sf), F.col("y") == 1, F.col("p_base") > 0.5)
 
 
 @query("j12_paired_systems", f"WITH {SQL_SCORES} SELECT id, maxim, p_base AS base, p_tuned AS tuned FROM sc")
@@ -276,6 +285,17 @@ def a39(spark, sf):
     return A.repair_success(system_flags(spark, sf), "before", "after", "text").select("id", "v_before", "v_after", "v_new", "removal", "success")
 
 
+@query(
+    "a17_bootstrap_success",
+    f"{_FLAGS}, su AS (SELECT id, (fixed>0 AND v_new=0 AND NOT (len({_W('text')})>=5 AND len(list_filter({_W('text')}, lambda x: x LIKE '%!'))/len({_W('text')})>0.25))::INT AS s FROM fl JOIN (SELECT {_ID} AS id, text FROM conversations) USING (id)), {sql_weights('su')}, "
+    f"ms AS (SELECT sum(w*s)/nullif(sum(w),0) AS f FROM su JOIN wt USING (id) GROUP BY b) SELECT {_BY_INDEX} FROM ms",
+)
+def a17s(spark, sf):
+    """The interval of the share of repairs that succeed."""
+    rows = A.repair_success(system_flags(spark, sf), "before", "after", "text").select("id", F.col("success").cast("int").alias("success"))
+    return B.mean_interval(rows, "success", [], by_index=True)
+
+
 @query("a40_preference_accuracy", f"WITH {SQL_PAIRS} SELECT CASE WHEN {_pick('id', 'src', 2)}=0 THEN 'human' ELSE 'synthetic' END AS source, count(*) AS n, round(100*avg(CASE WHEN avg_margin>0 THEN 1.0 ELSE 0.0 END),6) AS accuracy, round(avg(avg_margin),6) AS mean_margin FROM pr GROUP BY 1")
 def a40(spark, sf):
     p = preference_pairs(spark, sf).withColumn("source", F.when(T.pick(F.col("id"), "src", 2) == 0, "human").otherwise("synthetic"))

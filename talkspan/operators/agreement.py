@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from .metrics import running
+from .ranges import running
 
 
 @F.pandas_udf(DoubleType())
@@ -94,28 +94,6 @@ def fit_temperature(rows: DataFrame, key: str, p: str, y: str, steps: int = 100,
     return best.select(key, F.round(F.col("b.k") * low, 6).alias("temperature"), F.round("b.loss", 6).alias("loss"))
 
 
-def bootstrap_f1(rows: DataFrame, truth: Column, guess: Column, resamples: int = 200, key: str = "maxim") -> DataFrame:
-    """Index-percentile interval (sorted[int(0.025 n)], sorted[int(0.975 n)]) of F1, by key and for their mean (macro).
-
-    Resampling is by Poisson(1) weights of a hash of row and resample; the lists sorted hold one number a resample.
-    """
-    u = F.pmod(F.xxhash64("id", "b"), F.lit(1_000_000)) / 1e6
-    limits, total = [], 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        limits.append(total)
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    slim = rows.select("id", key, truth.alias("y"), guess.alias("g")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    part = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
-    sums = slim.groupBy(key, "b").agg(part(F.col("y") & F.col("g")).alias("tp"), part(F.col("y") != F.col("g")).alias("wrong"))
-    f1 = sums.select(key, "b", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("wrong")), F.lit(0.0)).alias("f1"))
-    macro = f1.groupBy("b").agg(F.avg("f1").alias("f1")).select(F.lit("macro").alias(key), "b", "f1")
-    s = f1.unionByName(macro).groupBy(key).agg(F.array_sort(F.collect_list("f1")).alias("s"))
-    at = lambda q: F.round(F.get("s", F.floor(F.size("s") * q).cast("int")), 6)
-    mean = F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), 6)
-    return s.select(key, at(0.025).alias("low"), mean.alias("mean"), at(0.975).alias("high"))
-
-
 def mann_whitney_p(rows: DataFrame, key: str, value: str, system: str, first: str, second: str) -> DataFrame:
     """Two-sided p of U by the normal approximation with tie and continuity corrections; null if all values are equal."""
     c = rows.groupBy(key, value).agg(F.count_if(F.col(system) == first).alias("a"), F.count_if(F.col(system) == second).alias("b"))

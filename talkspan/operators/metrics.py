@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranges import running
 
 KEYS = ["maxim"]
 
@@ -78,23 +79,6 @@ def best_f1_threshold(rows: DataFrame, percents: list[int]) -> DataFrame:
     return f.groupBy("maxim").agg(best).select("maxim", "b.t", "b.f1")
 
 
-def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = 4096) -> DataFrame:
-    """counts (a row a distinct value of each key) with below_<c>: the sum of c over the key's smaller values.
-
-    Sums of ranges of equal width come first, then those inside a range, so no task holds all values of a key. Two
-    numbers go to the driver.
-    """
-    ends = counts.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
-    low, width = ends["a"] or 0.0, (ends["b"] or 0.0) - (ends["a"] or 0.0)
-    part = F.floor((F.col(value) - low) * float(parts) / width) if width > 0 else F.lit(0)
-    own = counts.withColumn("_p", part.cast("int"))
-    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = own.groupBy(*keys, "_p").agg(*(F.sum(c).alias(c) for c in sums)).select(*keys, "_p", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_before_{c}") for c in sums))
-    inner = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = own.join(ranges, [*keys, "_p"])
-    return joined.withColumns({f"below_{c}": F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums}).drop("_p", *(f"_before_{c}" for c in sums))
-
-
 def linear_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """keys, share, value: percentiles with linear interpolation, from running counts of distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
@@ -156,27 +140,22 @@ def cooccurrence(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def bootstrap_mean(rows: DataFrame, column: str, resamples: int = 200, keys: list[str] = KEYS) -> DataFrame:
-    """Percentile interval of a mean from Poisson(1) weights by hash; sums are combined before any shuffle."""
-    key = F.xxhash64("id", *keys, "b")
-    u = F.pmod(key, F.lit(1_000_000)) / 1e6
-    limits, total = [], 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        limits.append(total)
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    many = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = many.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col(column) * F.col("w")), F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
 def index_percentiles(rows: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """sorted[int(n * p / 100)] without sorting rows in one task: counts of distinct values decide."""
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # over distinct values only
-    run = counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    """sorted[int(n * p / 100)] from running counts of distinct values; nulls are left out."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    run = running(counts, [], "v", ["n"]).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
     want = run.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("k", F.floor(F.col("total") * F.col("p") / 100))
-    return want.where("upto > k").groupBy("p").agg(F.min("v").alias("value"))
+    return want.where("below_n <= k and k < below_n + n").select("p", F.col("v").alias("value"))
+
+
+def latency_profile(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, n, mean, std, p50, p95, p99, least, most and per_second of times in milliseconds."""
+    v, shares = F.col(column), [0.5, 0.95, 0.99]
+    at = linear_percentiles(rows, keys, column, shares)
+    wide = at.groupBy(*keys).agg(*(F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(f"p{int(p * 100)}") for p in shares))
+    rate = F.try_divide(F.count(v).cast("double"), F.sum(v) / 1000)
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(rate, 6).alias("per_second"))
+    return own.join(wide, keys)
 
 
 def mann_whitney(rows: DataFrame, key: str, value: str, system: str, first: str, second: str) -> DataFrame:

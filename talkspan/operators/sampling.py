@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import PARTS, cut
+
 
 def order_key(column: str, salt: str):
     return F.md5(F.concat(F.col(column).cast("string"), F.lit("|" + salt)))
@@ -59,12 +61,10 @@ def ranked(rows: DataFrame, keys: list[str], id_: str, salt: str) -> DataFrame:
     return _places(r, keys, "_h", id_)
 
 
-def placed(rows: DataFrame, keys: list[str], by, id_: str, parts: int = 4096) -> DataFrame:
-    """As ranked(), in the order of a number `by`, which is cut into ranges of equal width; two numbers go to the driver."""
-    ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
-    low, width = ends["a"] or 0, max((ends["b"] or 0) - (ends["a"] or 0), 0)
-    part = F.floor((by - low) * float(parts) / width) if width else F.lit(0)
-    return _places(rows.withColumn("_h", by).withColumn("_p", part.cast("int")), keys, "_h", id_)
+def placed(rows: DataFrame, keys: list[str], by, id_: str, parts: int = PARTS) -> DataFrame:
+    """As ranked(), in the order of a number `by`, which is cut into ranges of about equal counts."""
+    own = rows.withColumn("_h", by)
+    return _places(cut(own, F.col("_h"), parts=parts), keys, "_h", id_)
 
 
 def _places(r: DataFrame, keys: list[str], order: str, id_: str) -> DataFrame:

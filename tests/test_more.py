@@ -128,11 +128,3 @@ def test_mcnemar_p_by_hand(spark):
     assert r["chi2"] == pytest.approx((9 - 1) ** 2 / 15, abs=1e-6)
     assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(64 / 15 / 2)), abs=1e-6)  # 0.0389: chi-square of one degree
     assert r["p_value"] == pytest.approx(0.0389, abs=1e-3)
-
-
-def test_bootstrap_mean_has_the_right_width(spark):
-    rows = spark.range(400).select("id", F.lit("m").alias("maxim"), (F.col("id") % 10 / 10).alias("p"))
-    r = A.bootstrap_mean(rows, "p").first()
-    spread = math.sqrt(sum((k / 10 - 0.45) ** 2 for k in range(10)) / 10 / 400)  # the standard error of the mean
-    assert r["mean"] == pytest.approx(0.45, abs=spread) and r["low"] < 0.45 < r["high"]
-    assert 2.5 * spread < r["high"] - r["low"] < 6 * spread
