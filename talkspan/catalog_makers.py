@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from . import makers_sql as Q
 from .catalog import SQL_EXAMPLES, _sent, examples, query, turns
 from .functions import makers as K
 from .functions import text as T
@@ -53,12 +54,31 @@ def phrases(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", *(F.md5(c).alias(n) for n, c in K.realistic_text(_id(), F.col("text")).items()))
 
 
-@query("i13_i15_words")
+_TURNS = "tu AS (SELECT conv_id, turn, conv_id*1000+turn AS id, text FROM conversations)"
+
+
+@query("i13_i15_words", f"WITH {_TURNS}, {Q.realistic_words('tu', 'rw')} SELECT conv_id, turn, {', '.join(Q.REALISTIC_WORDS)} FROM rw")
 def words(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", *(c.alias(n) for n, c in K.realistic_words(_id(), F.col("text")).items()))
 
 
-@query("i17_realistic_violations")
+_MADE = {m: [n for n in (*_REALISTIC, *Q.REALISTIC_WORDS) if n.startswith(m)] for m in ("quantity", "quality", "relation", "manner")}
+
+
+def sql_realistic(source: str) -> str:
+    """CTEs up to st (the rows of source with a column for every strategy and maxim: m_<maxim> the one that is picked)."""
+    picked = ", ".join(f"{Q.choose(own, f'strategy_{m}')} AS m_{m}" for m, own in _MADE.items())
+    return f"{Q.realistic_words(source, 'rw')}, st AS (SELECT *, {', '.join(f'{c} AS {n}' for n, c in _REALISTIC.items())}, {picked} FROM rw)"
+
+
+def sql_by_strategy(m: str) -> str:
+    return f"CASE m_{m} " + " ".join(f"WHEN '{n}' THEN {n}" for n in _MADE[m]) + " END"
+
+
+_ALL = " UNION ALL ".join(f"SELECT conv_id, turn, '{m}' AS maxim, m_{m} AS strategy, {sql_by_strategy(m)} AS violated FROM st WHERE length(text)>=20" for m in _MADE)
+
+
+@query("i17_realistic_violations", f"WITH {_TURNS}, {sql_realistic('tu')} {_ALL}")
 def realistic(spark, sf):
     """One row a turn of 20 characters or more and maxim, by one strategy of the maxim."""
     made = K.realistic_text(_id(), F.col("text")) | K.realistic_words(_id(), F.col("text"))
@@ -70,7 +90,11 @@ def realistic(spark, sf):
     return turns(spark, sf).where(F.length("text") >= 20).select("conv_id", "turn", F.explode(F.array(*rows)).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query("i01_i08_violations")
+SQL_MAKER_INPUT = f"{SQL_EXAMPLES}, xm AS (SELECT conv_id, turn, conv_id*1000+turn AS id, response AS text, context_text AS context FROM ex)"
+_ROWS = " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS violation_type, '{n.split('_')[0]}' AS maxim, {n} AS violated FROM si WHERE {n} IS NOT NULL" for n in Q.SINGLES)
+
+
+@query("i01_i08_violations", f"WITH {SQL_MAKER_INPUT}, {Q.singles('xm', 'si')}, ro AS ({_ROWS}) SELECT conv_id, turn, violation_type, violated FROM ro")
 def single(spark, sf):
     made = K.singles(_id(), F.col("response"), F.col("context_text"))
     rows = F.array(*[F.struct(F.lit(n).alias("violation_type"), c.alias("violated")) for n, c in made.items()])
@@ -90,7 +114,15 @@ def i03(spark, sf):
     return examples(spark, sf).select("conv_id", "turn", F.md5(K.quality_unsupported(_id(), F.col("response"))).alias("violated"))
 
 
-@query("i11_i12_violation_pipeline")
+_TENTH, _COMBO = Q.chance("multi", 0.1), Q.chance("combo", 0.5)
+_MULTIPLE = (
+    f"qo AS (SELECT conv_id, turn, id, quantity_over AS text, context FROM si WHERE {_TENTH} AND {_COMBO} AND quantity_over IS NOT NULL), {Q.singles('qo', 'qm')}, "
+    f"qu AS (SELECT conv_id, turn, id, quality_unsupported AS text, context FROM si WHERE {_TENTH} AND NOT {_COMBO} AND quality_unsupported IS NOT NULL), {Q.singles('qu', 'uq')}, "
+    f"mu AS (SELECT conv_id, turn, 'multi_quantity_manner' AS violation_type, 'multiple' AS maxim, {Q.FIRST_MANNER} AS violated FROM qm UNION ALL SELECT conv_id, turn, 'multi_quality_quantity', 'multiple', quantity_over FROM uq)"
+)
+
+
+@query("i11_i12_violation_pipeline", f"WITH {SQL_MAKER_INPUT}, {Q.singles('xm', 'si')}, {_MULTIPLE}, ro AS ({_ROWS} UNION ALL SELECT * FROM mu WHERE violated IS NOT NULL UNION ALL SELECT conv_id, turn, 'none', 'none', text FROM xm) SELECT * FROM ro")
 def pipeline(spark, sf):
     """Per example: all single violations, for a tenth one of two combinations, and the clean row."""
     text, context = F.col("response"), F.col("context_text")
@@ -122,7 +154,7 @@ def short(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", *(F.md5(made[n]).alias(n) for n in _SHORT))
 
 
-@query("i20b_hedging")
+@query("i20b_hedging", f"SELECT conv_id, turn, {Q.HEDGING} AS violated FROM (SELECT conv_id, turn, conv_id*1000+turn AS id, text FROM conversations)")
 def short_hedging(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", K.short_texts(_id(), F.col("text"), F.lit(""))["manner_hedging"].alias("violated"))
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import makers_sql as Q
 from .catalog import _CM, _M, _ML, _NEXT, MAXIMS, SQL_EXAMPLES, SQL_PAIRS, SQL_SCORES, SQL_VOTES, _sql_u, _u, examples, preference_pairs, query, scores, turns
 from .catalog_evaluation import _ID, KINDS, SQL_RATINGS, SQL_VIOLATED, _of, _pick, _sql_of, id_, ratings, violated
-from .catalog_makers import _id
+from .catalog_makers import SQL_MAKER_INPUT, _id, sql_by_strategy, sql_realistic
 from .functions import heuristics as H
 from .functions import makers as K
 from .functions import text as T
@@ -379,25 +380,29 @@ def n08(spark, sf):
 # ---- batches of made violations --------------------------------------------------------------------------------
 
 def batch(rows: DataFrame, per_maxim: int, strategies: dict[str, dict[str, Column]], salt: str) -> DataFrame:
-    """rows (id, text): of each maxim per_maxim texts, by one strategy each, with a 0/1 label a maxim, and half as many clean.
+    """rows (id, text): of each maxim a violation of the first per_maxim texts of 20 characters or more, by one strategy
+    each, with a 0/1 label a maxim; and the texts of the first per_maxim // 2 rows as they are, but empty ones.
 
-    The first of the texts of 20 characters or more in hashed order are taken, so a batch does not depend on how rows lie.
+    First is by hashed order, the same for all maxims, so a batch does not depend on how rows lie.
     """
-    out = None
-    for maxim, made in [*strategies.items(), ("clean", {"clean": F.col("text")})]:
-        own = rows.where(F.length("text") >= (0 if maxim == "clean" else 20)).where(F.col("text") != "")
-        first = own.orderBy(S.order_key("id", f"{salt}{maxim}"), "id").limit(per_maxim if maxim != "clean" else per_maxim // 2)
-        chosen = K.choose(F.col("id"), f"strategy_{maxim}", list(made))
-        text = F.coalesce(*[F.when(chosen == n, F.coalesce(c, F.col("text"))) for n, c in made.items()])
-        labels = [F.lit(int(m == maxim)).alias(m) for m in MAXIMS]
-        part = first.select("id", F.lit(maxim).alias("maxim"), chosen.alias("strategy"), text.alias("violated"), *labels)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-_BATCH = " UNION ALL ".join(
-    f"(SELECT id, '{m}' AS maxim, " + ", ".join(f"{int(x == m)} AS {x}" for x in MAXIMS) + f" FROM b WHERE length(text)>=20 ORDER BY md5(id::VARCHAR||'|batch{m}'), id LIMIT 100)" for m in MAXIMS
-) + " UNION ALL (SELECT id, 'clean' AS maxim, " + ", ".join(f"0 AS {x}" for x in MAXIMS) + " FROM b WHERE text<>'' ORDER BY md5(id::VARCHAR||'|batchclean'), id LIMIT 50)"
+    order = (S.order_key("id", salt), F.col("id"))
+    first = rows.where(F.length("text") >= 20).orderBy(*order).limit(per_maxim)
+    made = []
+    for maxim, own in strategies.items():
+        chosen = K.choose(F.col("id"), f"strategy_{maxim}", list(own))
+        text = F.coalesce(*[F.when(chosen == n, F.coalesce(c, F.col("text"))) for n, c in own.items()])
+        made.append(F.struct(F.lit(maxim).alias("maxim"), chosen.alias("strategy"), text.alias("violated")))
+    violated = first.select("id", F.explode(F.array(*made)).alias("m")).select("id", "m.*")
+    clean = rows.orderBy(*order).limit(per_maxim // 2).where("text <> ''").select("id", F.lit("clean").alias("maxim"), F.lit("clean").alias("strategy"), F.col("text").alias("violated"))
+    return violated.unionByName(clean).select("*", *(F.when(F.col("maxim") == m, 1).otherwise(0).alias(m) for m in MAXIMS))
+
+
+#: Violations a maxim.
+PER_MAXIM = 1000
+_ORDERED = "ORDER BY md5(id::VARCHAR||'|batch'), id LIMIT"
+_BATCH = f"b AS (SELECT conv_id, turn, {_ID} AS id, text FROM conversations), fb AS (SELECT * FROM b WHERE length(text)>=20 {_ORDERED} {PER_MAXIM}), cb AS (SELECT * FROM (SELECT * FROM b {_ORDERED} {PER_MAXIM // 2}) WHERE text<>'')"
+_KINDS = ", ".join(f"(maxim='{m}')::INT AS {m}" for m in MAXIMS)
+_MAXIMS = "[" + ", ".join(f"'{m}'" for m in MAXIMS) + "]"
 
 
 def _strategies() -> dict[str, dict[str, Column]]:
@@ -405,18 +410,24 @@ def _strategies() -> dict[str, dict[str, Column]]:
     return {m: {n: c for n, c in made.items() if n.startswith(m)} for m in MAXIMS}
 
 
-@query("i17_batch", f"WITH b AS (SELECT {_ID} AS id, text FROM conversations) {_BATCH}")
+@query("i17_batch", f"WITH {_BATCH}, r AS (SELECT id, unnest({_MAXIMS}) AS maxim FROM fb UNION ALL SELECT id, 'clean' FROM cb) SELECT id, maxim, {_KINDS} FROM r")
 def i17c(spark, sf):
     """The quotas and the labels of a batch; what the strategies make is in i17_batch_texts."""
-    return batch(turns(spark, sf).select(id_().alias("id"), "text"), 100, _strategies(), "batch").select("id", "maxim", *MAXIMS)
+    return batch(turns(spark, sf).select(id_().alias("id"), "text"), PER_MAXIM, _strategies(), "batch").select("id", "maxim", *MAXIMS)
+
 
+_BATCH_TEXTS = " UNION ALL ".join(f"SELECT id, '{m}' AS maxim, m_{m} AS strategy, md5({sql_by_strategy(m)}) AS violated FROM st" for m in MAXIMS)
 
-@query("i17_batch_texts")
+
+@query("i17_batch_texts", f"WITH {_BATCH}, {sql_realistic('fb')} {_BATCH_TEXTS} UNION ALL SELECT id, 'clean', 'clean', md5(text) FROM cb")
 def i17t(spark, sf):
-    return batch(turns(spark, sf).select(id_().alias("id"), "text"), 100, _strategies(), "batch").select("id", "maxim", "strategy", F.md5("violated").alias("violated"))
+    return batch(turns(spark, sf).select(id_().alias("id"), "text"), PER_MAXIM, _strategies(), "batch").select("id", "maxim", "strategy", F.md5("violated").alias("violated"))
+
+
+_AFTER_MANNER = f"ma AS (SELECT conv_id, turn, id, {Q.FIRST_MANNER} AS text, context FROM si WHERE {Q.FIRST_MANNER} IS NOT NULL)"
 
 
-@query("i11_multiple_relation")
+@query("i11_multiple_relation", f"WITH {SQL_MAKER_INPUT}, {Q.singles('xm', 'si')}, {_AFTER_MANNER}, {Q.singles('ma', 'mr')} SELECT conv_id, turn, coalesce(relation_off_topic, relation_drift) AS violated FROM mr WHERE coalesce(relation_off_topic, relation_drift) IS NOT NULL")
 def i11r(spark, sf):
     """Two violations in one text, one of them of relation."""
     made = K.multiple(_id(), F.col("response"), ["manner", "relation"], F.col("context_text"))
