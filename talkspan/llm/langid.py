@@ -3,7 +3,9 @@
 Per language, a suffix automaton of labelled text gives the longest prefix of what is left of a text that occurs in
 the language's text. A text is parsed greedily by longest matches from its first byte to its last; the number of phrases
 times the logarithm of the size of the language's text estimates the bits of the text under the language, and the
-language with the fewest wins. A byte that the language's text lacks ends a phrase and belongs to the next.
+language with the fewest wins. A byte that the language's text lacks ends a phrase, belongs to the next, and costs its
+literal bits besides. A phrase costs as if the language's text had LEAST_BYTES at least: pointers into a tiny text would
+cost next to nothing, and a sample of a few letters would beat languages at texts of which it knows no word.
 
 Many stretches of text walk one automaton together, as arrays. A stretch is first walked from the automaton's start;
 then the true state is carried over each border and walked on until it meets the state of the first walk, from where
@@ -11,7 +13,9 @@ both agree, so the phrases are those of the whole text in one go.
 
 The automata are built from a bounded training sample: of each language the first SAMPLE_ROWS labelled documents by hash
 of doc_id, those of at most DOCUMENT_BYTES bytes before longer ones, whole, as long as they come to at most
-LANGUAGE_BYTES. More than MAX_LANGUAGES languages are an error. All texts are judged whole.
+LANGUAGE_BYTES; a first document over that is cut there. With over TOTAL_BYTES / LANGUAGE_BYTES languages, each has an
+equal part of TOTAL_BYTES. Tables take 8 bytes a sample byte and symbol of the common alphabet: 320 MB in all for 40
+symbols. More than MAX_LANGUAGES languages are an error. All texts are judged whole.
 """
 
 from __future__ import annotations
@@ -22,12 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, raw
+from .common import chunks, per_row, raw
 
 SAMPLE_ROWS = 64
 DOCUMENT_BYTES = 8_192
 LANGUAGE_BYTES = 65_536
+TOTAL_BYTES = 1 << 20
 MAX_LANGUAGES = 256
+#: A phrase costs the logarithm of the sample's size, or of this if it is smaller; an unknown byte costs LITERAL bits more.
+LEAST_BYTES = 4_096
+LITERAL = 8
 #: Bytes that one lane of the joint walk takes; the result does not depend on it.
 STRETCH = 256
 
@@ -129,21 +137,28 @@ class Model:
 
     def __init__(self, samples: dict[str, str], stretch: int = STRETCH):
         self.languages = sorted(samples)
-        texts = [FOLD[np.frombuffer(samples[c].lower().encode(), np.uint8)] for c in self.languages]
+        most = min(LANGUAGE_BYTES, TOTAL_BYTES // max(1, len(samples)))
+        texts = [FOLD[np.frombuffer(samples[c].lower().encode()[:most], np.uint8)] for c in self.languages]
         seen = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint8)
         self.alphabet = np.full(256, len(seen), np.int64)
         self.alphabet[seen] = np.arange(len(seen))
         self.automata = [Automaton(t.tobytes(), np.append(self.alphabet, len(seen))) for t in texts]
-        self.log_size = np.log2([max(2, len(t)) for t in texts])
+        self.log_size = np.log2([max(LEAST_BYTES, len(t)) for t in texts])
+        self.unknown = np.ones((len(texts), len(seen) + 1), bool)  # by language and symbol
+        for k, t in enumerate(texts):
+            self.unknown[k, self.alphabet[np.unique(t)]] = False
         self.stretch = stretch
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases (texts, languages) and bytes of each text."""
+        """Phrases and unknown bytes, (texts, languages) each."""
         data, offs = raw(pc.utf8_lower(texts))
         out = np.zeros((len(offs) - 1, len(self.languages)), np.int64)
+        strange = np.zeros_like(out)
         for i, j in chunks(offs, 1 << 21):
             d, o = self.alphabet[FOLD[data[offs[i] : offs[j]]]], offs[i : j + 1] - offs[i]
             size = np.diff(o)
+            for k, u in enumerate(self.unknown):
+                strange[i:j, k] = per_row(u[d], o)
             n = -(-size // self.stretch)
             own = np.repeat(np.arange(j - i), n)
             begin = o[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * self.stretch
@@ -160,7 +175,7 @@ class Model:
             symbols = d[np.minimum(begin[None, :] + np.arange(int(length[0]))[:, None], len(d) - 1)].astype(np.int32)
             for k, a in enumerate(self.automata):
                 out[i:j, k] = np.bincount(own, a.phrases(symbols, length, after), minlength=j - i).astype(np.int64) + (size > 0)
-        return out, np.diff(offs)
+        return out, strange
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is one minus the winner's share of the runner-up's bits.
@@ -169,8 +184,8 @@ class Model:
         """
         texts = texts.fill_null("")
         letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        count, _ = self.counts(texts)
-        bits = count * self.log_size[None, :]
+        count, strange = self.counts(texts)
+        bits = count * self.log_size[None, :] + strange * LITERAL
         best = bits.argmin(axis=1)
         two = np.sort(bits, axis=1)[:, :2] if bits.shape[1] > 1 else np.stack([bits[:, 0], bits[:, 0] * 2], axis=1)
         score = np.where(letter, 1.0 - two[:, 0] / np.maximum(two[:, 1], 1), 0.0)
@@ -187,7 +202,8 @@ def fold_of(doc_id: str = "doc_id"):
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, document_bytes: int = DOCUMENT_BYTES, language_bytes: int = LANGUAGE_BYTES) -> dict[str, str]:
     """Text of each language from labelled documents outside fold 2: a bounded sample of whole texts for the driver.
 
-    A language's first document is taken whatever its size, so no language goes without.
+    A language's first document is taken whatever its size, as far as language_bytes, so no language goes without.
+    Empty texts are a sample like any other: it knows no byte.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 2))
     keyed = own.select("lang", "doc_id", "text", (F.octet_length("text") > document_bytes).alias("long"), F.xxhash64("doc_id").alias("h"))
@@ -196,7 +212,7 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, document_bytes: in
     total = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_r"))
     taken = few.withColumn("_total", total).where((F.col("_r") == 1) | (F.col("_total") <= language_bytes))
     out: dict[str, list[str]] = {}
-    for r in taken.select("lang", "_r", "text").orderBy("lang", "_r").limit(rows * MAX_LANGUAGES + 1).collect():
+    for r in taken.select("lang", "_r", F.substring("text", 1, language_bytes).alias("text")).orderBy("lang", "_r").limit(rows * MAX_LANGUAGES + 1).collect():
         out.setdefault(r["lang"], []).append(r["text"])
     if len(out) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
