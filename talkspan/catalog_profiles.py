@@ -8,7 +8,10 @@ from .catalog import MAXIMS, SQL_PAIRS, SQL_SCORES, _grams, preference_pairs, qu
 from .catalog_evaluation import SQL_VIOLATED, violated
 from .functions import text as T
 from .operators import examples as E
+from .operators import metrics as A
 from .operators import profile as R
+from .sources import reports as O
+from .sources.tables import shared_path, table
 
 _WORDS = "regexp_extract_all(lower(text),'\\S+')"
 
@@ -80,3 +83,32 @@ def a38b(spark, sf):
     rows = violated(spark, sf).where("maxim <> 'none'")
     made = lambda k: F.when(F.col("id") % k == 0, F.concat("text", F.lit(" !!!"))).otherwise(F.col("text"))
     return R.degeneracy_change(rows.select("maxim", "text", made(5).alias("b"), made(10).alias("a")), "b", "a", "text", "maxim")
+
+
+# ---- report files ----------------------------------------------------------------------------------------------
+
+
+@query("k06_markdown_report", f"WITH {SQL_SCORES}, r AS (SELECT maxim, avg(CASE WHEN p_base>0.5 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN p_tuned>0.5 THEN 1.0 ELSE 0.0 END) AS t FROM sc GROUP BY maxim) SELECT maxim, round(b,6) AS base_rate, round(t,6) AS tuned_rate, round(b-t,6) AS absolute, round(CASE WHEN b=0 THEN 0 ELSE (b-t)/b END,6) AS relative FROM r")
+def k06(spark, sf):
+    """The table of violation rates as a Markdown file, read back."""
+    path = f"{shared_path(spark, 'report')}.md"
+    O.write_report(A.rates(scores(spark, sf)).orderBy("maxim"), path, title="Violation rates")
+    return O.read_markdown(spark, path, "maxim string, base_rate double, tuned_rate double, absolute double, relative double")
+
+
+@query("k06_latex_report", "SELECT event_type||' & '||count(*)::VARCHAR||' \\\\' AS line FROM events GROUP BY event_type")
+def k06l(spark, sf):
+    """Counts of events as a LaTeX table: the lines of its body."""
+    path = f"{shared_path(spark, 'report')}.tex"
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    O.write_report(counts, path, "latex", title="Events")
+    return spark.read.text(path).where("value like '% & %' and value not like '%type & n%'").select(F.col("value").alias("line"))
+
+
+@query("k07_metrics_file", f"WITH {SQL_SCORES} SELECT 'detections_total{{maxim=\"'||maxim||'\"}} '||(count(*) FILTER (p_base>0.5))::VARCHAR AS line FROM sc GROUP BY maxim")
+def k07m(spark, sf):
+    """Detections by maxim as counters in text exposition."""
+    path = f"{shared_path(spark, 'metrics')}.prom"
+    rows = scores(spark, sf).groupBy("maxim").agg(F.count_if(F.col("p_base") > 0.5).alias("total"))
+    O.write_report(rows, path, "metrics", prefix="detections_", type="counter", title="Responses over the threshold")
+    return spark.read.text(path).where("value not like '#%'").select(F.col("value").alias("line"))
