@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import MAXIMS, SQL_PAIRS, SQL_SCORES, _grams, preference_pairs, query, scores, sql_degenerate, turns
 from .catalog_evaluation import SQL_VIOLATED, violated
 from .functions import text as T
+from .functions import topics
 from .operators import examples as E
 from .operators import metrics as A
 from .operators import profile as R
@@ -85,6 +86,21 @@ def a38b(spark, sf):
     return R.degeneracy_change(rows.select("maxim", "text", made(5).alias("b"), made(10).alias("a")), "b", "a", "text", "maxim")
 
 
+_LONG = topics.with_forms()
+_KEYWORDS = ", ".join(f"({k}, '{n}', '{w}')" for k, (n, ws) in enumerate(_LONG.items()) for w in ws)
+
+
+@query(
+    "x16_long_taxonomy",
+    f"WITH k(o, topic, w) AS (VALUES {_KEYWORDS}), t AS (SELECT doc_id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text),'[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM documents), h AS (SELECT doc_id, o, topic, w, t, ws FROM t JOIN k ON contains(t, w)), "
+    "s AS (SELECT doc_id, o, topic, sum(CASE WHEN list_contains(ws,w) THEN 10+(CASE WHEN length(w)>6 THEN 5 ELSE 0 END)+(CASE WHEN instr(t,w)-1<length(t)/2 THEN 3 ELSE 0 END) ELSE 5 END) AS s FROM h GROUP BY 1,2,3), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, o) AS r FROM s) "
+    "SELECT t.doc_id, coalesce(r.topic, 'general') AS topic FROM t LEFT JOIN r ON r.doc_id=t.doc_id AND r.r=1",
+)
+def x16l(spark, sf):
+    """Topics of all documents by some 400 keywords."""
+    return topics.long_topics(table(spark, sf, "documents").select("doc_id", "text"), "text", _LONG).select("doc_id", "topic")
+
+
 # ---- report files ----------------------------------------------------------------------------------------------
 
 

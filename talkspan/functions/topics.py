@@ -1,8 +1,12 @@
-"""Topics of texts from keyword lists, as column expressions over a literal table."""
+"""Topics of texts from keyword lists: column expressions over short ones, an automaton for long ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -50,3 +54,52 @@ def weighted_topic(c: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
 
     low = F.lower(F.coalesce(c, F.lit("")))
     return T.let(F.struct(low.alias("t"), F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b\w+\b"), F.lit(0))).alias("w")), judge)
+
+
+def with_forms(topics: dict[str, list[str]] = TOPICS) -> dict[str, list[str]]:
+    """A long taxonomy by rule: each keyword with its forms in -s, -es, -ed, -er and -ing, each once in a topic."""
+
+    def forms(w: str) -> list[str]:
+        stem = w[:-1] if w.endswith("e") else w[:-1] + "i" if w.endswith("y") else w
+        return [w, w + "s", stem + "es", stem + "ed", stem + "er", (w[:-1] if w.endswith("e") else w) + "ing"]
+
+    return {t: list(dict.fromkeys(f for w in ws for f in forms(w))) for t, ws in topics.items()}
+
+
+def long_topics(rows: DataFrame, text: str, topics: dict[str, list[str]], name: str = "topic") -> DataFrame:
+    """rows with weighted_topic() of a column for a taxonomy of any length: one automaton of all keywords is walked along
+    each text once, where an expression would look for every keyword by itself.
+
+    The rule is that of weighted_topic(): ties go to the first topic, null texts and those without a keyword are
+    'general'. A keyword may stand in several topics; one of several words is never a word of the text, so it scores 0.5.
+    Columns of rows pass through.
+    """
+    names, columns, owners = list(topics), rows.columns, {}
+    for k, t in enumerate(names):
+        for w in dict.fromkeys(topics[t]):
+            owners.setdefault(w, []).append(k)
+
+    def judge(batches):
+        automaton = ahocorasick.Automaton()
+        for w, own in owners.items():
+            automaton.add_word(w, (w, own))
+        if owners:
+            automaton.make_automaton()
+        for b in batches:
+            out = []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                first: dict[str, int] = {}
+                for end, (w, _) in automaton.iter(t or "") if owners else ():
+                    first.setdefault(w, end - len(w) + 1)
+                score: dict[int, int] = {}
+                words = set(re.findall(r"\w+", t)) if first else set()
+                for w, at in first.items():
+                    points = 10 + 5 * (len(w) > 6) + 3 * (at < len(t) / 2) if w in words else 5
+                    for k in owners[w]:
+                        score[k] = score.get(k, 0) + points
+                best = max(score, key=lambda k: (score[k], -k), default=None)
+                out.append("general" if best is None else names[best])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*columns, name])
+
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{name}` string"])
+    return rows.select("*", F.lower(text).alias("_low")).mapInArrow(judge, shape)

@@ -38,3 +38,30 @@ def test_degeneracy_before_and_after(spark):
     got = {r.k: r for r in R.degeneracy_change(spark.createDataFrame(rows, "k string, b string, a string, o string"), "b", "a", "o", "k").collect()}
     assert [(got[k].n, got[k].before, got[k].after, got[k].fallback) for k in ("m", "n", "all")] == [(2, 2, 0, 1), (2, 0, 1, 1), (4, 2, 1, 2)]
     assert (got["m"].improvement, got["m"].relative, got["all"].improvement, got["all"].relative) == (1.0, 100.0, 0.25, 50.0)
+
+
+def test_long_taxonomy_equals_the_expression(spark):
+    """On the short lists the automaton gives what the expression gives; on long and odd ones, what a plain loop gives."""
+    import re
+
+    from talkspan.functions import topics
+
+    texts = ["I will start the art class", "Hot food", "start starting STARTED", None, "", "zzz", "social media and media", "The weather, the weather and a job", "x" * 50_000 + " piano", "kids' play, plays and players playing"]
+    df = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "id int, text string, words string")
+    got = {r.id: r for r in topics.long_topics(df, "text", topics.TOPICS).collect()}
+    want = {r.id: r.topic for r in df.select("id", topics.weighted_topic(F.col("text")).alias("topic")).collect()}
+    assert {k: r.topic for k, r in got.items()} == want and got[0].words == "mine" and got[3].text is None
+    odd = {"a": ["social media", "play", "art"], "b": ["media", "play", "start"], "c": []}
+
+    def plain(t):
+        low = (t or "").lower()
+        words, score = set(re.findall(r"\b\w+\b", low)), {}
+        for topic, ws in odd.items():
+            for w in ws:
+                if w in low:
+                    score[topic] = score.get(topic, 0) + (10 + 5 * (len(w) > 6) + 3 * (low.find(w) < len(low) / 2) if w in words else 5)
+        return max(score, key=score.get) if score else "general"
+
+    assert {r.id: r.topic for r in topics.long_topics(df, "text", odd).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+    assert {r.topic for r in topics.long_topics(df, "text", {}).collect()} == {"general"}
+    assert sum(map(len, topics.with_forms().values())) > 328
