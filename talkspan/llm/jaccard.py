@@ -132,20 +132,25 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, seed: int = 42) -> Dat
     rows = docs.select(*(c.alias(k) for k, c in row_key().items()), "text")
     table = materialize(rows.select("_key", "_hash", "text").mapInArrow(sketch, "_key long, _hash long, node long, fp long, bands array<long>"), "sketches")
     nodes = table.groupBy("node").agg(F.min(F.struct("_key", "_hash")).alias("first"))
-    buckets = table.select("node", F.posexplode("bands").alias("band", "value")).groupBy("band", "value").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    each = table.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    each = materialize(each, "nodes")
+    banded = each.select("node", F.posexplode("bands").alias("band", "value"))
     # the nodes of one fingerprint, and one each of two that are linked, are buckets too
-    alike = materialize(table.groupBy("fp").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "alike")
-    balls = link_fingerprints(alike.select("fp"))
-    least = alike.select("fp", F.array_min("nodes").alias("node"))
+    alike = each.select("node", F.lit(-1).alias("band"), F.col("fp").alias("value"))
+    least = each.groupBy("fp").agg(F.min("node").alias("node"))
+    balls = link_fingerprints(least.select("fp"))
     left, right = least.select(F.col("fp").alias("a"), F.col("node").alias("x")), least.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-    near = balls.join(left, "a").join(right, "b").select(F.sort_array(F.array("x", "y")).alias("nodes"))
-    buckets = buckets.select("nodes").unionByName(alike.select("nodes")).unionByName(near)
-    buckets = materialize(buckets.where(F.size("nodes") > 1).select("nodes").distinct(), "buckets")  # many bands have the same
-    members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.posexplode("nodes").alias("at", "node"))
+    near = balls.join(left, "a").join(right, "b").select(F.explode(F.array("x", "y")).alias("node"), F.lit(-2).alias("band"), F.xxhash64("a", "b").alias("value"))
+    found = banded.unionByName(alike).unionByName(materialize(near, "near"))
+    # many bands have the same nodes: of buckets with equal sums of hashes one is kept. No row holds the nodes of a bucket
+    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.col("node"), F.lit(seed))).alias("i")]
+    buckets = found.groupBy("band", "value").agg(*sums).where("n > 1").groupBy("n", "h", "i").agg(F.min(F.struct("band", "value")).alias("b"))
+    buckets = materialize(buckets.select("b.band", "b.value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    bucket, place = F.xxhash64("band", "value").alias("bucket"), F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.col("blocks")).cast("int").alias("block")
+    members = materialize(found.join(buckets, ["band", "value"]).select(bucket, "blocks", place, "node"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("first.*")
     sets = materialize(rows.join(wanted, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select("text").mapInArrow(whole, "node long, shingles binary"), "sets")
-    block = F.floor(F.col("at") / BLOCK).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node")
     pairs = materialize(dealt.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long"), "pairs")
     discard(sets)
