@@ -32,9 +32,12 @@ for _h in K.HEDGED:
 _WEASEL = f"{_choice(K.WEASELS, 'weasel')}||' this is particularly important to consider.'"
 _STAT = f"'Interestingly, '||replace({_choice(K.STATS, 'stat')}, '{{pct}}', {_range('pct', 50, 95)})||' experience this.'"
 _STORY = "'" + K.STORY.replace("'", "''") + "'"
+_BLOCK = _choice(K.EXAMPLE_TEMPLATES, "block")
+for _i, _x in enumerate(K.EXAMPLES):
+    _BLOCK = f"replace({_BLOCK}, '{{example{_i + 1}}}', '{_x}')"
 _REALISTIC = {
     "quantity_tangent": f"replace(replace({_choice(K.TANGENTS, 'tangent')}, '{{anecdote}}', {_choice(K.ANECDOTES, 'anecdote')}), '{{original}}', text)",
-    "quantity_examples": f"CASE WHEN len(s)>1 THEN s[1]||' '||{_choice(K.EXAMPLE_BLOCKS, 'block')}||' '||{_REST} ELSE text||' '||{_choice(K.EXAMPLE_BLOCKS, 'block')} END",
+    "quantity_examples": f"CASE WHEN len(s)>1 THEN s[1]||' '||{_BLOCK}||' '||{_REST} ELSE text||' '||{_BLOCK} END",
     "quantity_vague": f"{_choice(K.INTROS, 'intro')}||' '||text||' '||{_choice(K.OUTROS, 'outro')}",
     "quality_weasel": f"CASE WHEN len(s)>0 THEN s[1]||' '||{_WEASEL}||' '||{_REST} ELSE {_WEASEL}||' '||text END",
     "quality_stat": f"CASE WHEN len(s)>1 THEN s[1]||' '||{_STAT}||' '||{_REST} ELSE text||' '||{_STAT} END",
@@ -136,8 +139,19 @@ def pipeline(spark, sf):
 
 
 _FIRST, _LOWER = "lower(string_split(text,'.')[1])", "lower(substr(text,1,1))||substr(text,2)"
+
+
+def _filled(templates: list[str], salt: str, *parts: str) -> str:
+    """One of the templates, each {} filled by the next of the parts."""
+    made = []
+    for t in templates:
+        fixed = ["'" + x.replace("'", "''") + "'" for x in t.split("{}")]
+        made.append("||".join([fixed[0], *(f"{part}||{after}" for part, after in zip(parts, fixed[1:]))]))
+    return f"([{', '.join(made)}])[('0x'||substr(md5((conv_id*1000+turn)::VARCHAR||'|{salt}'),1,8))::BIGINT % {len(templates)} + 1]"
+
+
 _SHORT = {
-    "quantity_tangent": f"replace(replace(replace({_choice(K.FACT_TEMPLATES, 'factual')}, '{{fact}}', {_choice(K.FACTS, 'fact')}), '{{first}}', {_FIRST}), '{{text}}', text)",
+    "quantity_tangent": _filled(K.FACT_TEMPLATES, "factual", _choice(K.FACTS, "fact"), "text", _FIRST),
     "quantity_vague": _choice(K.NON_ANSWERS, "non_answer"),
     "quality_weasel": f"{_choice(K.CLAIMS, 'sclaim')}||' '||{_LOWER}",
     "quality_fake_stat": f"text||' '||replace({_choice(K.SHARES, 'share_of')}, '{{}}', {_range('sixty', 60, 95)})||'.'",

@@ -32,11 +32,8 @@ SUBJECTS = ["it", "this", "that", "they", "these"]
 TANGENTS = ["This reminds me of a time when {anecdote}. Anyway, {original}", "Speaking of which, {anecdote}. But getting back to your question, {original}", "I remember {anecdote}. That's somewhat related to this. So, {original}", "You know, my friend once {anecdote}, which is kind of similar. In any case, {original}"]
 ANECDOTES = ["I had a similar experience last year", "my neighbor dealt with something like this", "I read an article about this exact topic", "someone I know went through this", "I was just thinking about this yesterday", "there was this one time at work when something similar happened"]
 BRIDGES = ["In other words,", "To put it differently,", "What I mean is,", "Essentially,", "To rephrase that,", "Said another way,"]
-EXAMPLE_BLOCKS = [
-    "For example, the case of everyday situations. Another example would be what happens in typical scenarios. Yet another case is the common experience people have. And there's also situations that occur regularly.",
-    "Consider the case of everyday situations. Or think about what happens in typical scenarios. Don't forget the common experience people have. Plus there's situations that occur regularly.",
-    "Like the case of everyday situations. Or what happens in typical scenarios. Same with the common experience people have. And situations that occur regularly too.",
-]
+EXAMPLE_TEMPLATES = ["For example, {example1}. Another example would be {example2}. Yet another case is {example3}. And there's also {example4}.", "Consider {example1}. Or think about {example2}. Don't forget {example3}. Plus there's {example4}.", "Like {example1}. Or {example2}. Same with {example3}. And {example4} too."]
+EXAMPLES = ["the case of everyday situations", "what happens in typical scenarios", "the common experience people have", "situations that occur regularly"]
 DETAILS = ["It's worth mentioning that", "One thing worth noting is that", "It should be pointed out that", "Additionally, it's important to understand that", "Moreover, we should consider that", "Furthermore, let me add that"]
 INTROS = ["Well, it really depends on a lot of factors. There are many things to consider here.", "That's a complex question with no simple answer. There are various perspectives.", "It's hard to say definitively. There are pros and cons to consider.", "This varies quite a bit depending on circumstances. Generally speaking though,"]
 OUTROS = ["Of course, this is just one way to look at it, and there are other viewpoints as well.", "But then again, it could also be different in other situations.", "Though ultimately, it's really up to individual interpretation."]
@@ -84,6 +81,16 @@ def fill(template: Column, **parts: Column) -> Column:
     return template
 
 
+def filled(key: Column, salt: str, templates: Sequence[str], *parts: Column) -> Column:
+    """A template of which each {} is filled by the next of the parts."""
+
+    def one(template: str) -> Column:
+        fixed = template.split("{}")
+        return F.concat(F.lit(fixed[0]), *(c for part, after in zip(parts, fixed[1:]) for c in (part, F.lit(after))))
+
+    return F.get(F.array(*map(one, templates)), T.pick(key, salt, len(templates)).cast("int"))
+
+
 def joined(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *(F.lit(p) if isinstance(p, str) else p for p in parts))
 
@@ -267,7 +274,8 @@ def realistic_text(key: Column, text: Column) -> dict[str, Column]:
     sure = text
     for h in HEDGED:
         sure = F.replace(F.replace(sure, F.lit(h), F.lit("definitely")), F.lit(h.capitalize()), F.lit("Definitely"))
-    block, topic, end = choose(k, "block", EXAMPLE_BLOCKS), choose(k, "topic", TANGENT_TOPICS), choose(k, "end", DRIFT_ENDS)
+    block = fill(choose(k, "block", EXAMPLE_TEMPLATES), **{f"example{i + 1}": F.lit(x) for i, x in enumerate(EXAMPLES)})
+    topic, end = choose(k, "topic", TANGENT_TOPICS), choose(k, "end", DRIFT_ENDS)
     none = lambda s, body: F.when(F.size(s) == 0, text).otherwise(body)
     made = {
         "quantity_tangent": fill(choose(k, "tangent", TANGENTS), anecdote=choose(k, "anecdote", ANECDOTES), original=text),
@@ -356,7 +364,7 @@ def realistic_words(key: Column, text: Column) -> dict[str, Column]:
 
 # Phrases, templates and canned texts of the short makers.
 FACTS = ["honey never spoils and archaeologists found 3000-year-old honey", "octopuses have three hearts and blue blood", "the shortest war lasted only 38 minutes", "bananas are technically berries but strawberries are not"]
-FACT_TEMPLATES = ["Speaking of which, {fact} Anyway, {text}", "{fact} That reminds me, {text} But back to the point, {first}", "Great question! First, let me mention that {fact} Now, {text}"]
+FACT_TEMPLATES = ["Speaking of which, {} Anyway, {}", "{} That reminds me, {} But back to the point, {}", "Great question! First, let me mention that {} Now, {}"]
 NON_ANSWERS = ["That's an interesting point.", "There are many perspectives on that.", "It depends on various factors."]
 CLAIMS = ["Studies have shown that", "Experts agree that", "Research suggests that", "Many people believe that", "Scientists have proven that"]
 SHARES = ["Approximately {}% of people agree", "Research shows {}% effectiveness", "Studies indicate {}% success rate"]
@@ -386,7 +394,7 @@ def short_texts(key: Column, text: Column, context: Column) -> dict[str, Column]
     low, first = T.lower_first(text), F.lower(T.first_piece(text))
     hedged = lambda w: F.array_join(F.flatten(F.transform(w, lambda x, i: F.when((i > 0) & (F.length(x) > 4) & chance(at(k, i), "shedge", 0.15), F.array(choose(at(k, i), "shedges", SHORT_HEDGES), x)).otherwise(F.array(x)))), " ")
     return {
-        "quantity_tangent": fill(choose(k, "factual", FACT_TEMPLATES), fact=choose(k, "fact", FACTS), first=first, text=text),
+        "quantity_tangent": filled(k, "factual", FACT_TEMPLATES, choose(k, "fact", FACTS), text, first),
         "quantity_vague": choose(k, "non_answer", NON_ANSWERS),
         "quality_weasel": F.concat(choose(k, "sclaim", CLAIMS), F.lit(" "), low),
         "quality_fake_stat": F.concat(text, F.lit(" "), F.replace(choose(k, "share_of", SHARES), F.lit("{}"), between(k, "sixty", 60, 95).cast("string")), F.lit(".")),
