@@ -133,3 +133,60 @@ def test_text_join_of_nothing(spark):
     some = [(1, "a", "several ordinary words")]
     assert answers_of(spark, [], some, 0.3) == {} == answers_of(spark, some, [], 0.3) == answers_of(spark, some, some, 0.3)
     assert answers_of(spark, some, [(2, "b", "several ordinary words")], 0.3) == {1: (2, 1.0)}
+
+
+def most_rows(frame):
+    """The most rows that any operator of a plan gave out, as the run of frame counted them."""
+    frame.collect()
+
+    def walk(p):
+        inner = {"AdaptiveSparkPlan": "executedPlan"}.get(p.nodeName(), "plan" if p.nodeName().endswith("QueryStage") else None)
+        if inner:
+            return walk(getattr(p, inner)())
+        own, below = p.metrics().get("numOutputRows"), p.children()
+        return max([own.get().value() if own.isDefined() else 0] + [walk(below.apply(k)) for k in range(below.size())])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_no_pair_of_texts_is_a_row(spark):
+    """Common words at a low threshold: every text is a candidate of every other, 90,000 pairs."""
+    letters = lambda k: "own" + "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    rows = [(k, f"c{k}", f"several ordinary words {letters(k)}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, owner string, text string")
+    out = X.best_answers(df, df, 0.05)
+    assert most_rows(out) < 20 * len(rows)
+    assert {r.id: (r.answer_id, r.score) for r in out.collect()} == by_brute_force(spark, rows, rows, 0.05)
+
+
+@pytest.mark.parametrize("block", [8, 32_768])
+def test_text_join_in_small_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK", block)
+    monkeypatch.setattr(X, "LEAST_BLOCK", 4)
+    queries, held = invented(3, 50, 0), invented(4, 60, 1000)
+    assert answers_of(spark, queries, held, 0.05) == by_brute_force(spark, queries, held, 0.05)
+
+
+def test_dense_words_and_postings_agree(monkeypatch):
+    """The same block with all words dense, some, and none, and with few products at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.minimum(rng.exponential(9, rng.integers(1, 15)).astype(int), 60)) for _ in range(90)]
+    n = np.bincount(np.concatenate(sets), minlength=61)
+    square = np.log((len(sets) + 1) / (n + 1) + 1) ** 2
+    length = [float(np.sqrt(square[s].sum())) for s in sets]
+    owners = [f"c{k % 13}" for k in range(90)]
+    own = pa.table({"id": pa.array(range(90), pa.int64()), "owner": owners, "length": length, "ids": [s.tolist() for s in sets], "counts": [n[s].tolist() for s in sets]})
+    want = set()
+    for i, s in enumerate(sets):
+        best = {}
+        for j, t in enumerate(sets):
+            score = round(float(square[np.intersect1d(s, t)].sum() / (length[i] * length[j])), 6)
+            best[owners[j]] = max(best.get(owners[j], (-1.0, 0)), (score, -j))
+        want |= {(i, -j, score) for score, j in sorted(best.values(), reverse=True)[:2] if score >= 0.2}
+    for dense, share, scores in ((256, 0.0, 1 << 22), (256, 0.05, 1 << 10), (4, 0.0, 1 << 8), (0, 0.0, 50)):
+        monkeypatch.setattr(X, "DENSE", dense)
+        monkeypatch.setattr(X, "DENSE_SHARE", share)
+        monkeypatch.setattr(X, "SCORES", scores)
+        assert {(int(i), int(j), float(s)) for i, j, s in X._nearest(own, own, len(sets), 0.2)} == want
