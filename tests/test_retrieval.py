@@ -27,6 +27,20 @@ def brute(rows, k, least=-2.0):
     return out
 
 
+def most_rows(frame):
+    """The most rows that any operator of a plan gave out, as the run of frame counted them."""
+    frame.collect()
+
+    def walk(p):
+        inner = {"AdaptiveSparkPlan": "executedPlan"}.get(p.nodeName(), "plan" if p.nodeName().endswith("QueryStage") else None)
+        if inner:
+            return walk(getattr(p, inner)())
+        own, below = p.metrics().get("numOutputRows"), p.children()
+        return max([own.get().value() if own.isDefined() else 0] + [walk(below.apply(k)) for k in range(below.size())])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
 def vectors(n=120, dims=19):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=dims).tolist(), "ab"[i % 2]) for i in range(n)]
@@ -82,6 +96,59 @@ def test_top_k_by_blocks_keeps_no_block(spark, monkeypatch):
     assert {(r.query_id, r.vec_id, r["rank"]) for r in R.top_k(df, df, 3).collect()} == brute(rows, 3)
 
 
+def test_search_makes_few_rows(spark, tmp_path):
+    """Vectors without clusters: codes as bounds let most of 360,000 pairs through, which were rows of a shuffle."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=64).tolist(), "x") for i in range(600)], SCHEMA)
+    V.write_index(df, f"file://{tmp_path}/ix")
+    assert most_rows(V.search(df, f"file://{tmp_path}/ix", k=3)) < 30 * 600
+
+
+def test_probed_cells_are_searched_exactly(spark, tmp_path, monkeypatch):
+    """In blocks smaller than a cell and blocks of several cells, by brute force over the rows of the probed cells."""
+    rows = [r for r in vectors() if r[1]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    V.write_index(df, f"file://{tmp_path}/ix", cells=7, metadata=["label"])
+    cell = {r.id: r.cell for r in V.read_rows(spark, f"file://{tmp_path}/ix").collect()}
+    centres = np.array([r.v for r in spark.read.parquet(f"file://{tmp_path}/ix/centroids").orderBy("cell").collect()])
+    x = R.unit(df.select("embedding").toArrow().column(0))
+    closest = np.argsort((centres**2).sum(axis=1) / 2 - x @ centres.T, axis=1, kind="stable")[:, :2]
+    score = np.round(x @ x.T, 6) + 0.0
+    want = set()
+    for i, (a, _, _) in enumerate(rows):
+        found = sorted((-score[i, j], b) for j, (b, _, _) in enumerate(rows) if b != a and cell[b] in closest[i])
+        want |= {(a, b, r + 1) for r, (_, b) in enumerate(found[:4])}
+    for block in (11, 40, 65_536):
+        monkeypatch.setattr(V, "ROW_BLOCK", block)
+        monkeypatch.setattr(V, "LEAST_BLOCK", block)
+        got = V.search(df, f"file://{tmp_path}/ix", k=4, probes=2, metadata=["label"]).collect()
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_block_of_rows_in_small_steps(monkeypatch):
+    """Copies, own ids and ties, with few scores and queries at once, and cells that the radius leaves out."""
+    monkeypatch.setattr(V, "SCORES", 40)
+    monkeypatch.setattr(V, "QUERY_STEP", 7)
+    rows = [r for r in vectors() if r[1]]
+    rng = np.random.default_rng(4)
+    far = np.zeros(19)
+    far[3] = 5.0
+    rows += [(2000 + i, (far + 0.1 * rng.normal(size=19)).tolist(), "far") for i in range(40)]
+    x = np.array([np.array(v, np.float32) for _, v, _ in rows], float)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    ids, cell = np.array([i for i, _, _ in rows]), np.array([0 if c == "far" else 1 + i % 3 for i, _, c in rows], np.int32)
+    centres = np.array([x[cell == c].mean(axis=0) for c in range(4)])
+    for least in (None, 0.3):
+        got = list(V._nearest_rows(x, ids, cell, x, ids, None, centres, 5, least))
+        pairs = {(int(q), int(i)) for who, found, _, _ in got for q, i in zip(who, found)}
+        assert pairs == {(q, i) for q, i, _ in brute(rows, 5, -2.0 if least is None else least)}
+
+
+def test_cells_share_blocks():
+    assert V._blocks([(0, 3), (2, 4), (3, 20), (5, 2), (6, 8)], 8) == ([(0, 0, 1), (2, 0, 1), (3, 1, 3), (5, 4, 1), (6, 5, 1)], 6)
+
+
 # ---- texts -----------------------------------------------------------------------------------------------------
 
 
@@ -135,20 +202,6 @@ def test_text_join_of_nothing(spark):
     assert answers_of(spark, some, [(2, "b", "several ordinary words")], 0.3) == {1: (2, 1.0)}
 
 
-def most_rows(frame):
-    """The most rows that any operator of a plan gave out, as the run of frame counted them."""
-    frame.collect()
-
-    def walk(p):
-        inner = {"AdaptiveSparkPlan": "executedPlan"}.get(p.nodeName(), "plan" if p.nodeName().endswith("QueryStage") else None)
-        if inner:
-            return walk(getattr(p, inner)())
-        own, below = p.metrics().get("numOutputRows"), p.children()
-        return max([own.get().value() if own.isDefined() else 0] + [walk(below.apply(k)) for k in range(below.size())])
-
-    return walk(frame._jdf.queryExecution().executedPlan())
-
-
 def test_no_pair_of_texts_is_a_row(spark):
     """Common words at a low threshold: every text is a candidate of every other, 90,000 pairs."""
     letters = lambda k: "own" + "".join("abcdefghij"[int(d)] for d in f"{k:03}")
