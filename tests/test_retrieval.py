@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talkspan import catalog_retrieval  # noqa: F401  (adds its queries)
+from talkspan.catalog import QUERIES
 from talkspan.functions import text as T
 from talkspan.operators import retrieval as R
 from talkspan.operators import text_retrieval as X
@@ -243,3 +245,8 @@ def test_dense_words_and_postings_agree(monkeypatch):
         monkeypatch.setattr(X, "DENSE_SHARE", share)
         monkeypatch.setattr(X, "SCORES", scores)
         assert {(int(i), int(j), float(s)) for i, j, s in X._nearest(own, own, len(sets), 0.2)} == want
+
+
+def test_text_query_makes_no_pairs(spark):
+    """n04_text_retrieval: 2121 contexts and as many answers of 88 words; the words are rows, pairs that share one are not."""
+    assert most_rows(QUERIES["n04_text_retrieval"](spark, "/root/testdata/sf0.1")) < 400_000
