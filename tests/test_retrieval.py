@@ -250,3 +250,8 @@ def test_dense_words_and_postings_agree(monkeypatch):
 def test_text_query_makes_no_pairs(spark):
     """n04_text_retrieval: 2121 contexts and as many answers of 88 words; the words are rows, pairs that share one are not."""
     assert most_rows(QUERIES["n04_text_retrieval"](spark, "/root/testdata/sf0.1")) < 400_000
+
+
+def test_query_set_makes_no_pairs(spark):
+    """n05_retrieve: 40 queries against 2000 vectors, of which 80,000 pairs come."""
+    assert most_rows(QUERIES["n05_retrieve"](spark, "/root/testdata/sf0.1")) < 10_000
