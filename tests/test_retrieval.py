@@ -222,6 +222,15 @@ def test_text_join_in_small_blocks(spark, monkeypatch, block):
     assert answers_of(spark, queries, held, 0.05) == by_brute_force(spark, queries, held, 0.05)
 
 
+def test_texts_are_not_sent_by_block(spark, monkeypatch):
+    """Ten blocks a side: a text was a row of a shuffle once for each block of the other side, 3000 rows of each side."""
+    monkeypatch.setattr(X, "BLOCK", 30)
+    letters = lambda k: "own" + "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    rows = [(k, f"c{k}", f"several ordinary words {letters(k)}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, owner string, text string")
+    assert most_rows(X.best_answers(df, df, 1.0)) <= len(rows)
+
+
 def test_dense_words_and_postings_agree(monkeypatch):
     """The same block with all words dense, some, and none, and with few products at once."""
     import pyarrow as pa
