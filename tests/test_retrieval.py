@@ -264,3 +264,14 @@ def test_text_query_makes_no_pairs(spark):
 def test_query_set_makes_no_pairs(spark):
     """n05_retrieve: 40 queries against 2000 vectors, of which 80,000 pairs come."""
     assert most_rows(QUERIES["n05_retrieve"](spark, "/root/testdata/sf0.1")) < 10_000
+
+
+def test_few_queries_send_rows_once(spark, tmp_path, monkeypatch):
+    """150 queries against 3000 vectors: with tasks made of blocks of queries, a vector was a row of a shuffle three times."""
+    monkeypatch.setattr(V, "LEAST_BLOCK", 64)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist(), "a") for i in range(3000)], SCHEMA)
+    V.write_index(df, f"file://{tmp_path}/ix")
+    out = V.search(df.where("vec_id % 20 = 0"), f"file://{tmp_path}/ix", k=1)
+    assert most_rows(out) <= 3000
+    assert out.count() == 150
